@@ -2,8 +2,8 @@
 
 A document is its set of 5-word shingles. Documents with the same set are one node. MinHash samples give ``BANDS`` band
 keys (candidates share one) and an odd sketch: a bitmap into which the samples are folded by parity, so that the
-population count of two sketches' XOR estimates their similarity, most precisely where it is high. Pairs whose sketches
-are far apart are dropped; the rest is verified on the full sets.
+population count of two sketches' XOR estimates their similarity, most precisely where it is high. A second sketch folds
+the whole set in the same way, which is more precise still for sets of some hundreds. Pairs whose sketches are far apart are dropped; the rest is verified on the full sets.
 
 A band may hold a third of all rows, so its pairs are never all emitted. First each member is held against one pivot
 of its band; then, over what is not yet connected, against its likeliest partner by sketch; last, all pairs that are
@@ -34,6 +34,8 @@ MULTIPLY = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(
 ADD = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 WEIGHTS = _rng.integers(0, 1 << 63, WIDTH, dtype=np.uint64) * U64(2) + U64(1)
 SKETCH = [f"o{i}" for i in range(SKETCH_BITS // 64)]
+#: A second odd sketch, of the whole set in place of samples: for sets of some hundreds it tells far more exactly.
+PARITY = [f"p{i}" for i in range(SKETCH_BITS // 64)]
 
 
 def shingles(data: bytes, words: WordHashes) -> np.ndarray:
@@ -65,6 +67,27 @@ def odd_sketch(sig: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(place.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(bool), bitorder="little").view(np.int64)
 
 
+def parity_sketch(s: np.ndarray) -> np.ndarray:
+    place = (s >> U64(20)) % U64(SKETCH_BITS)
+    return np.packbits((np.bincount(place.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(bool), bitorder="little").view(np.int64)
+
+
+def parity_limits(most: int = 1024) -> np.ndarray:
+    """For m elements that differ, the XOR population count of parity sketches that is 6 standard deviations above its mean."""
+    m, n = np.arange(most + 1), SKETCH_BITS
+    two, four = (1 - 2 / n) ** m, (1 - 4 / n) ** m
+    mean, var = n * (1 - two) / 2, n * (1 - two**2) / 4 + n * (n - 1) * (four - two**2) / 4
+    return np.minimum(n, np.ceil(mean + 6 * np.sqrt(np.maximum(var, 0)) + 1)).astype(np.int64)
+
+
+LIMITS = parity_limits()
+
+
+def most_apart(total: object) -> object:
+    """The most elements that sets of ``total`` elements together may differ by and still be linked."""
+    return total * (100 - PERCENT) // (100 + PERCENT)
+
+
 def most_differing(estimate: float = LEAST_ESTIMATE) -> int:
     """The XOR population count that means this similarity."""
     gone = 2 * len(MULTIPLY) * (1 - estimate)
@@ -79,7 +102,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-SIGNED = "doc_id long, n_shingles long, set_id binary, bands array<long>, " + ", ".join(f"{o} long" for o in SKETCH)
+SIGNED = "doc_id long, n_shingles long, set_id binary, bands array<long>, " + ", ".join(f"{o} long" for o in SKETCH + PARITY)
 
 
 def sign(docs: DataFrame) -> DataFrame:
@@ -98,11 +121,11 @@ def sign(docs: DataFrame) -> DataFrame:
                 sets.append(xxh3_128_digest(s.tobytes()))
                 sig = signature(s)
                 bands.append(band_keys(sig) if len(s) else [])
-                odd.append(odd_sketch(sig))
-            cols = np.array(odd, dtype=np.int64).reshape(-1, len(SKETCH)).T
+                odd.append(np.concatenate([odd_sketch(sig), parity_sketch(s)]))
+            cols = np.array(odd, dtype=np.int64).reshape(-1, len(SKETCH + PARITY)).T
             return pa.record_batch(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(bands, pa.list_(pa.int64())), *map(pa.array, cols)],
-                names=["doc_id", "n_shingles", "set_id", "bands", *SKETCH],
+                names=["doc_id", "n_shingles", "set_id", "bands", *SKETCH, *PARITY],
             )
 
         return f
@@ -136,10 +159,15 @@ def _verify(pairs: DataFrame, light: DataFrame, full: DataFrame) -> DataFrame:
     """The ``pairs`` (a, b) that are similar: sizes and sketches first, then the full sets."""
 
     def side(x: str) -> DataFrame:
-        return light.select(F.col("set_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), *(F.col(o).alias(f"{o}_{x}") for o in SKETCH))
+        return light.select(F.col("set_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), *(F.col(o).alias(f"{o}_{x}") for o in SKETCH + PARITY))
+
+    def differing(names: list[str]) -> F.Column:
+        return sum((F.bit_count(F.col(f"{o}_a").bitwiseXOR(F.col(f"{o}_b"))) for o in names), F.lit(0))
 
-    differing = sum((F.bit_count(F.col(f"{o}_a").bitwiseXOR(F.col(f"{o}_b"))) for o in SKETCH), F.lit(0))
-    near = pairs.distinct().join(side("a"), "a").join(side("b"), "b").where((differing <= most_differing()) & (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))).select("a", "b")
+    apart = F.floor((F.col("n_a") + F.col("n_b")) * (100 - PERCENT) / (100 + PERCENT)).cast("int")
+    limit = F.get(F.lit(LIMITS.tolist()), F.least(apart, F.lit(len(LIMITS) - 1)))
+    alike = (differing(SKETCH) <= most_differing()) & ((apart >= len(LIMITS)) | (differing(PARITY) <= limit))
+    near = pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(alike & (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))).select("a", "b")
     both = near.join(full.select(F.col("set_id").alias("a"), F.col("hashes").alias("x")), "a").join(full.select(F.col("set_id").alias("b"), F.col("hashes").alias("y")), "b")
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
@@ -161,7 +189,7 @@ def _tile_pairs(open_members: DataFrame, best_only: bool) -> DataFrame:
     sizes = open_members.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("chunks"))
     placed = open_members.join(sizes, "band").withColumn("chunk", F.pmod(F.xxhash64("set_id"), F.col("chunks")).cast("int"))
     tiles = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    tiles = tiles.select("band", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), (F.col("chunk") > F.col("other")).alias("second"), "set_id", "comp", "n_shingles", *SKETCH)
+    tiles = tiles.select("band", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), (F.col("chunk") > F.col("other")).alias("second"), "set_id", "comp", "n_shingles", *SKETCH, *PARITY)
     limit = most_differing()
 
     def one(rows: pa.Table) -> list[tuple[bytes, bytes]]:
@@ -170,17 +198,18 @@ def _tile_pairs(open_members: DataFrame, best_only: bool) -> DataFrame:
         if len(number) < 2:
             return []
         comp = np.array([number[c] for c in comp])
-        odd = np.stack([rows.column(o).to_numpy() for o in SKETCH], axis=1).view(np.uint64)
+        odd, parity = (np.stack([rows.column(o).to_numpy() for o in names], axis=1).view(np.uint64) for names in (SKETCH, PARITY))
         n = rows.column("n_shingles").to_numpy()
         second = rows.column("second").to_numpy()
         across = rows.column("i")[0].as_py() != rows.column("j")[0].as_py()
         left, right = (np.flatnonzero(~second), np.flatnonzero(second)) if across else (np.arange(len(ids)),) * 2
         out = []
         for k in left.tolist():
-            far = np.bitwise_count(odd[right] ^ odd[k]).sum(axis=1)
-            good = (far <= limit) & (comp[right] != comp[k]) & (100 * np.minimum(n[right], n[k]) >= PERCENT * np.maximum(n[right], n[k]))
+            apart = most_apart(n[right] + n[k])
+            far = np.bitwise_count(parity[right] ^ parity[k]).sum(axis=1)
+            good = (np.bitwise_count(odd[right] ^ odd[k]).sum(axis=1) <= limit) & ((apart >= len(LIMITS)) | (far <= LIMITS[np.minimum(apart, len(LIMITS) - 1)])) & (comp[right] != comp[k]) & (100 * np.minimum(n[right], n[k]) >= PERCENT * np.maximum(n[right], n[k]))
             if best_only and good.any():
-                out.append((ids[k], ids[right[int(np.where(good, far, 1 << 30).argmin())]]))
+                out.append((ids[k], ids[right[int(np.where(good, far.astype(np.int64), 1 << 30).argmin())]]))
             elif good.any():
                 out += [(ids[k], ids[m]) for m in right[good].tolist() if across or m > k]
         return out
@@ -212,7 +241,7 @@ def _tile_pairs(open_members: DataFrame, best_only: bool) -> DataFrame:
 def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
     """(a, b): each set of a component of similar sets, but its least, with the least."""
     filled = signed.where("n_shingles > 0")
-    nodes = filled.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), *(F.max(o).alias(o) for o in SKETCH))
+    nodes = filled.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), *(F.max(o).alias(o) for o in SKETCH + PARITY))
     banded = filled.select("set_id", F.explode("bands").alias("band")).distinct()
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("set_id").alias("pivot")).where("size > 1").drop("size")
     members = materialise(banded.join(shared, "band"), "members")
