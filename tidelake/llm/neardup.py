@@ -35,7 +35,8 @@ ADD = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 WEIGHTS = _rng.integers(0, 1 << 63, WIDTH, dtype=np.uint64) * U64(2) + U64(1)
 SKETCH = [f"o{i}" for i in range(SKETCH_BITS // 64)]
 #: A second odd sketch, of the whole set in place of samples: for sets of some hundreds it tells far more exactly.
-PARITY = [f"p{i}" for i in range(SKETCH_BITS // 64)]
+PARITY_BITS = 1024
+PARITY = [f"p{i}" for i in range(PARITY_BITS // 64)]
 
 
 def shingles(data: bytes, words: WordHashes) -> np.ndarray:
@@ -68,16 +69,16 @@ def odd_sketch(sig: np.ndarray) -> np.ndarray:
 
 
 def parity_sketch(s: np.ndarray) -> np.ndarray:
-    place = (s >> U64(20)) % U64(SKETCH_BITS)
-    return np.packbits((np.bincount(place.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(bool), bitorder="little").view(np.int64)
+    place = (s >> U64(20)) % U64(PARITY_BITS)
+    return np.packbits((np.bincount(place.astype(np.int64), minlength=PARITY_BITS) & 1).astype(bool), bitorder="little").view(np.int64)
 
 
 def parity_limits(most: int = 1024) -> np.ndarray:
-    """For m elements that differ, the XOR population count of parity sketches that is 6 standard deviations above its mean."""
-    m, n = np.arange(most + 1), SKETCH_BITS
+    """For m elements that differ, the XOR population count of parity sketches that is 4.5 standard deviations above its mean (3e-6 exceed it)."""
+    m, n = np.arange(most + 1), PARITY_BITS
     two, four = (1 - 2 / n) ** m, (1 - 4 / n) ** m
     mean, var = n * (1 - two) / 2, n * (1 - two**2) / 4 + n * (n - 1) * (four - two**2) / 4
-    return np.minimum(n, np.ceil(mean + 6 * np.sqrt(np.maximum(var, 0)) + 1)).astype(np.int64)
+    return np.minimum(n, np.ceil(mean + 4.5 * np.sqrt(np.maximum(var, 0)))).astype(np.int64)
 
 
 LIMITS = parity_limits()

@@ -86,7 +86,7 @@ iw AS (SELECT DISTINCT item_id, n, list_slice(w, i, i + n - 1) AS win FROM (SELE
 dw AS (SELECT doc_id, n, i, list_slice(w, i, i + n - 1) AS win
        FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM b))),
 hit AS (SELECT doc_id, item_id, i, n FROM dw JOIN iw USING (n, win)),
-p AS (SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS at FROM hit) GROUP BY 1),
+p AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS pos FROM hit) GROUP BY 1),
 q AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items
       FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM hit) GROUP BY 1)
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
@@ -98,9 +98,9 @@ LINES_SQL = """
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
 w AS (SELECT doc_id, i, list_slice(l, i, i + 2) AS win FROM (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS i FROM d)),
 later AS (SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY win ORDER BY doc_id, i) > 1),
-gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 3)) AS at FROM later),
-every AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS at, unnest(l) AS line FROM d),
-rest AS (SELECT e.doc_id, string_agg(line, chr(10) ORDER BY at) AS text FROM every e ANTI JOIN gone USING (doc_id, at) GROUP BY 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 3)) AS pos FROM later),
+every AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS pos, unnest(l) AS line FROM d),
+rest AS (SELECT e.doc_id, string_agg(line, chr(10) ORDER BY pos) AS text FROM every e ANTI JOIN gone USING (doc_id, pos) GROUP BY 1),
 n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1)
 SELECT d.doc_id, len(l) AS n_lines, coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS text_sha256
 FROM d LEFT JOIN rest ON d.doc_id = rest.doc_id LEFT JOIN n ON d.doc_id = n.doc_id
