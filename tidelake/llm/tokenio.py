@@ -55,6 +55,16 @@ class FrequencyTable:
         return cls(symbols, freq)
 
 
+def narrow(ids: bytes) -> bytes:
+    """Ids of 32 bits as 16 bits each where all of them fit."""
+    wide = np.frombuffer(ids, "<u4")
+    return wide.astype("<u2").tobytes() if len(wide) and wide.max() < 1 << 16 else ids
+
+
+def widen(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4").astype(np.uint32)
+
+
 def encode_block(ids: np.ndarray, table: FrequencyTable) -> tuple[bytes, bytes]:
     """Checkpoints and words of a block. Token t is coded by lane t % LANES at step t // LANES; coding runs backwards."""
     at = table.number[ids]
@@ -116,7 +126,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> Data
             if batch.num_rows:
                 data = [ids.encode((t or b"").decode("utf-8", "replace")) + end for t in batch.column(1).to_pylist()]
                 n = len(data)
-                yield pa.record_batch([pa.array([shard] * n, pa.int32()), pa.array(range(row, row + n), pa.int64()), batch.column(0), pa.array([len(d) // 4 for d in data], pa.int64()), pa.array(data, pa.binary())], names=[x.split()[0] for x in TOKENS.split(", ")])
+                yield pa.record_batch([pa.array([shard] * n, pa.int32()), pa.array(range(row, row + n), pa.int64()), batch.column(0), pa.array([len(d) // 4 for d in data], pa.int64()), pa.array(map(narrow, data), pa.binary())], names=[x.split()[0] for x in TOKENS.split(", ")])
                 row += n
 
     rows = docs.select(F.col("doc_id").cast("long"), utf8().alias("text"))
@@ -137,14 +147,14 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = END_ID)
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for data in batch.column(0).to_pylist():
-                n = np.bincount(np.frombuffer(data, "<u4"), minlength=len(total))
+            if batch.num_rows:
+                n = np.bincount(np.concatenate(list(map(widen, batch.column(0).to_pylist(), batch.column(1).to_pylist()))), minlength=len(total))
                 n[: len(total)] += total
                 total = n
         if (some := np.flatnonzero(total)).size:
             yield pa.record_batch([pa.array(some), pa.array(total[some])], names=["symbol", "n"])
 
-    counts = {r["symbol"]: r["n"] for r in tokens.select("ids").mapInArrow(tally, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect()}
+    counts = {r["symbol"]: r["n"] for r in tokens.select("ids", "n_tokens").mapInArrow(tally, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect()}
     table = FrequencyTable.of_counts(counts)
     spark.createDataFrame([(int(s), int(f)) for s, f in zip(table.symbols, table.freq, strict=True)], "symbol long, frequency long").coalesce(1).write.parquet(f"{path}/model")
     offsets, before = {}, 0
@@ -158,9 +168,9 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = END_ID)
         held: list[bytes] = []
 
         def flush() -> pa.RecordBatch:
-            data = b"".join(held)
-            marks, words = encode_block(np.frombuffer(data, "<u4"), table)
-            row = {"shard": shard, "block": block, "first_token": at, "n_tokens": len(data) // 4, "doc_ids": [d for d, _ in docs], "doc_tokens": [n for _, n in docs], "checkpoints": marks, "words": words, "crc32": zlib.crc32(words, zlib.crc32(marks))}
+            ids = np.concatenate([widen(h, n) for h, (_, n) in zip(held, docs, strict=True)])
+            marks, words = encode_block(ids, table)
+            row = {"shard": shard, "block": block, "first_token": at, "n_tokens": len(ids), "doc_ids": [d for d, _ in docs], "doc_tokens": [n for _, n in docs], "checkpoints": marks, "words": words, "crc32": zlib.crc32(words, zlib.crc32(marks))}
             types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int64())
             return pa.record_batch([pa.array([v], t) for v, t in zip(row.values(), types, strict=True)], names=list(row))
 
