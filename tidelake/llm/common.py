@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import unicodedata
@@ -156,3 +157,9 @@ class PieceIds(dict):
         if not self.cut or not PLAIN.match(text) or any(s in text for s in self.special):
             return self.whole(text)
         return b"".join(map(self.__getitem__, self.cut(text.lower() if self.lowered else text)))
+
+
+@functools.lru_cache(maxsize=2)
+def piece_ids(path: str) -> PieceIds:
+    """One cache for all the tasks that a Python worker runs after another."""
+    return PieceIds(path)

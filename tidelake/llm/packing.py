@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import PieceIds, map_rows, materialise
+from .common import map_rows, materialise, piece_ids
 
 CAPACITY, END_ID = 1024, 2
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long"
@@ -144,7 +144,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, e
     """The pieces of all documents, with each one's rank among those of its length in its task."""
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        ids, seen, task = PieceIds(tokenizer_path), Counter(), TaskContext.get().partitionId()
+        ids, seen, task = piece_ids(tokenizer_path), Counter(), TaskContext.get().partitionId()
         end = int(end_id).to_bytes(4, "little")
 
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:

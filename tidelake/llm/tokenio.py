@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, PieceIds, materialise, scratch_path, utf8
+from .common import U64, materialise, piece_ids, scratch_path, utf8
 
 END_ID, SCALE_BITS, LANES, STEPS, BLOCK_TOKENS = 2, 20, 512, 128, 1 << 18
 LOW = 1 << 31
@@ -120,7 +120,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> Data
     """All documents' ids in ascending doc_id order: the order is that of (shard, row)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, shard, row = PieceIds(tokenizer_path), TaskContext.get().partitionId(), 0
+        ids, shard, row = piece_ids(tokenizer_path), TaskContext.get().partitionId(), 0
         end = int(end_id).to_bytes(4, "little")
         for batch in batches:
             if batch.num_rows:
