@@ -8,7 +8,7 @@ the whole set in the same way, which is more precise still for sets of some hund
 A band may hold a third of all rows, so its pairs are never all emitted. First each member is held against one pivot
 of its band; then, over what is not yet connected, against its likeliest partner by sketch; last, all pairs that are
 still in different components and whose sketches are near. Sketches are compared in tiles of a band, so a large band
-is spread over many tasks. A similar pair is lost only if no band of it agrees: (1 - 0.75^4)^32 = 5e-6 at the limit.
+is spread over many tasks, and a pair counts in the first band that it shares only. A similar pair is lost only if no band of it agrees: (1 - 0.75^4)^32 = 5e-6 at the limit.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -190,7 +191,7 @@ def _tile_pairs(open_members: DataFrame, best_only: bool) -> DataFrame:
     sizes = open_members.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("chunks"))
     placed = open_members.join(sizes, "band").withColumn("chunk", F.pmod(F.xxhash64("set_id"), F.col("chunks")).cast("int"))
     tiles = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    tiles = tiles.select("band", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), (F.col("chunk") > F.col("other")).alias("second"), "set_id", "comp", "n_shingles", *SKETCH, *PARITY)
+    tiles = tiles.select("band", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), (F.col("chunk") > F.col("other")).alias("second"), "set_id", "comp", "n_shingles", "bands", *SKETCH, *PARITY)
     limit = most_differing()
 
     def one(rows: pa.Table) -> list[tuple[bytes, bytes]]:
@@ -202,6 +203,8 @@ def _tile_pairs(open_members: DataFrame, best_only: bool) -> DataFrame:
         odd, parity = (np.stack([rows.column(o).to_numpy() for o in names], axis=1).view(np.uint64) for names in (SKETCH, PARITY))
         n = rows.column("n_shingles").to_numpy()
         second = rows.column("second").to_numpy()
+        bands = pc.list_flatten(rows.column("bands")).to_numpy().reshape(-1, BANDS)
+        here = rows.column("band")[0].as_py()
         across = rows.column("i")[0].as_py() != rows.column("j")[0].as_py()
         left, right = (np.flatnonzero(~second), np.flatnonzero(second)) if across else (np.arange(len(ids)),) * 2
         out = []
@@ -209,6 +212,10 @@ def _tile_pairs(open_members: DataFrame, best_only: bool) -> DataFrame:
             apart = most_apart(n[right] + n[k])
             far = np.bitwise_count(parity[right] ^ parity[k]).sum(axis=1)
             good = (np.bitwise_count(odd[right] ^ odd[k]).sum(axis=1) <= limit) & ((apart >= len(LIMITS)) | (far <= LIMITS[np.minimum(apart, len(LIMITS) - 1)])) & (comp[right] != comp[k]) & (100 * np.minimum(n[right], n[k]) >= PERCENT * np.maximum(n[right], n[k]))
+            some = np.flatnonzero(good)
+            if some.size:  # two sets that share several bands are a pair in the first of these
+                same = bands[right[some]] == bands[k]
+                good[some] = bands[k][same.argmax(axis=1)] == here
             if best_only and good.any():
                 out.append((ids[k], ids[right[int(np.where(good, far.astype(np.int64), 1 << 30).argmin())]]))
             elif good.any():
@@ -242,7 +249,7 @@ def _tile_pairs(open_members: DataFrame, best_only: bool) -> DataFrame:
 def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
     """(a, b): each set of a component of similar sets, but its least, with the least."""
     filled = signed.where("n_shingles > 0")
-    nodes = filled.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), *(F.max(o).alias(o) for o in SKETCH + PARITY))
+    nodes = filled.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), *(F.max(o).alias(o) for o in ["bands", *SKETCH, *PARITY]))
     banded = filled.select("set_id", F.explode("bands").alias("band")).distinct()
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("set_id").alias("pivot")).where("size > 1").drop("size")
     members = materialise(banded.join(shared, "band"), "members")
