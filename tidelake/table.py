@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import logging
 import re
 from collections.abc import Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -13,17 +14,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .errors import ConfigError, SchemaError, UnsupportedError
+from .errors import ConfigError, SchemaError, TableError, UnsupportedError
 from .functions.timestamps import widen
 from .operators.filters import Filter, as_filters, field_type
 from .operators.merge import SLICE, merge
 from .operators.prune import PartitionPruner, file_may_hold, footer_ranges, path_field
 from .plans import groups as plan
+from .plans import metadata
 from .plans.config import APPEND_ONLY, COMMIT_TIME, MERGE_ON_READ, META_FIELDS, META_FOLDER, NOT_PARTITIONS, PROPERTIES_FILE, ReadOptions, TableConfig, parse_properties
 from .plans.timeline import Timeline
 from .sources import logfile
 from .sources.avro import table_schema
-from .sources.storage import Storage, open_bytes
+from .sources.storage import FileInfo, Storage, open_bytes
 
 #: A file's folder and file id: the scope of a merge. Schemes and leading slashes differ between readers.
 FOLDER = r"^(?:[A-Za-z0-9+.-]+:)?/*(.*)/[^/]*$"
@@ -133,17 +135,24 @@ class Table:
         for f in filters:
             field_type(schema, f.column)
         pruner = PartitionPruner(self.config, schema, filters)
+        known = None if incremental else self._known_files()
         if incremental:
             start = options.range[0]
             wanted = plan.written(self.timeline, start, end)
             folders, gone = {p for p, _ in wanted}, set()
         else:
             start, wanted = None, None
-            folders = set(self.storage.leaf_folders(NOT_PARTITIONS)) if self.config.is_partitioned else {""}
             gone = self.timeline.replaced(None, end)
+            if not self.config.is_partitioned:
+                folders = {""}
+            else:
+                folders = set(self.storage.leaf_folders(NOT_PARTITIONS)) if known is None else set(known)
         folders = sorted(p for p in folders if pruner.keeps(p))
-        with ThreadPoolExecutor(int(self.config.get("plan.listing.parallelism", "10"))) as pool:
-            listed = list(pool.map(lambda p: self.storage.listing(p)[0], folders))
+        if known is not None:
+            listed = [known.get(p, []) for p in folders]
+        else:
+            with ThreadPoolExecutor(int(self.config.get("plan.listing.parallelism", "10"))) as pool:
+                listed = list(pool.map(lambda p: self.storage.listing(p)[0], folders))
         found = plan.build([(p, f) for p, files in zip(folders, listed, strict=True) for f in files], self.timeline)
         out = [s for g in found if (g.partition, g.file_id) not in gone and (wanted is None or (g.partition, g.file_id) in wanted) and (s := g.as_of(end))]
         done = self.timeline.completions()
@@ -153,6 +162,24 @@ class Table:
             out = [s for s in out if file_may_hold(filters, footer_ranges(io.BytesIO(self.storage.read(s.base_path)), {f.column for f in filters}))]
         return out, start, end
 
+    @property
+    def has_metadata_table(self) -> bool:
+        """Whether a metadata table is kept (table version 8 on) and its use isn't switched off."""
+        kept = self.config.version >= 8 and metadata.FILES in self.config.names("table.metadata.partitions")
+        return kept and self.config.flag("metadata.enable", True)
+
+    def _known_files(self) -> dict[str, list[FileInfo]] | None:
+        """Files by partition from the metadata table; None, so that folders are listed, where there is none or it can't be read."""
+        if not self.has_metadata_table:
+            return None
+        uri = self.storage.path(META_FOLDER, metadata.METADATA_FOLDER)
+        try:
+            own = Table.open(self.spark, uri, {"hoodie.internal.skip.config.validation": "true"})
+            return metadata.listing(own.storage, own.timeline, self.storage)
+        except TableError as e:
+            logging.getLogger(__name__).warning("listing folders, as the metadata table can't be read: %s", e)
+            return None
+
     def file_slices(self, options: ReadOptions | None = None) -> list[plan.FileSlice]:
         return self._slices(options or ReadOptions())[0]
 
