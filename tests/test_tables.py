@@ -304,3 +304,17 @@ def test_empty_table(spark, tmp_path):
     t = Table.open(spark, w.storage.base)
     df = t.read()
     assert df.count() == 0 and df.columns[-len(COLUMNS) :] == COLUMNS
+
+
+def test_footers(spark, tmp_path, monkeypatch):
+    w = writer(spark, tmp_path / "f", kind="COPY_ON_WRITE")
+    for n, fare in enumerate((1.0, 50.0)):
+        w.base(trips(spark, "AB", fare=fare), "", f"g{n}-0", T1)
+    w.commit(T1)
+    some = ReadOptions().with_filters(("fare", ">", "20"))
+    for guess in (1 << 16, 16):  # the second is too short for any footer
+        monkeypatch.setattr("tidelake.sources.storage.FOOTER_GUESS", guess)
+        t = Table.open(spark, str(tmp_path / "f"), {"hoodie.plan.prune.files": "true"})
+        assert [s.file_id for s in t.file_slices(some)] == ["g1-0"]
+        assert len(t.file_slices()) == 2 and t.stats()[0] == pytest.approx(4, abs=1)
+    assert len(Table.open(spark, str(tmp_path / "f")).file_slices(some)) == 2  # off by default

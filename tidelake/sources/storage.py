@@ -6,6 +6,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
 
+#: Bytes read first for a footer; a second read follows if it is longer.
+FOOTER_GUESS = 1 << 16
+
 
 @dataclass(frozen=True)
 class FileInfo:
@@ -39,6 +42,23 @@ class Storage:
         finally:
             stream.close()
 
+    def _end(self, length: int, *parts: str) -> bytes:
+        """At most the last ``length`` bytes."""
+        path = self._p(*parts)
+        size = self.fs.getFileStatus(path).getLen()
+        stream = self.fs.open(path)
+        try:
+            stream.seek(max(0, size - length))
+            return bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+        finally:
+            stream.close()
+
+    def footer(self, *parts: str) -> bytes:
+        """The end of a Parquet file, from its metadata on; pyarrow reads the metadata from that alone."""
+        data = self._end(FOOTER_GUESS, *parts)
+        need = int.from_bytes(data[-8:-4], "little") + 8
+        return data[-need:] if need <= len(data) else self._end(need, *parts)
+
     def write(self, data: bytes, *parts: str) -> None:
         stream = self.fs.create(self._p(*parts), True)
         try:

@@ -159,7 +159,10 @@ class Table:
         reads_logs = self.is_mor and not options.read_optimized
         out = [replace(s, logs=[f for f in s.logs if reads_logs and widen(done.get(f.time, f.time) if self.timeline.layout == 1 else f.time) <= widen(end)]) for s in out]
         if filters and not incremental and not any(s.logs for s in out) and self.config.flag("plan.prune.files"):
-            out = [s for s in out if file_may_hold(filters, footer_ranges(io.BytesIO(self.storage.read(s.base_path)), {f.column for f in filters}))]
+            named = {f.column for f in filters}
+            with ThreadPoolExecutor(int(self.config.get("plan.listing.parallelism", "10"))) as pool:
+                ranges = pool.map(lambda s: footer_ranges(io.BytesIO(self.storage.footer(s.base_path)), named), out)
+                out = [s for s, r in zip(out, ranges, strict=True) if file_may_hold(filters, r)]
         return out, start, end
 
     @property
@@ -198,7 +201,7 @@ class Table:
         if options.query_type == "incremental" or not slices:
             return None
         one = max(slices, key=lambda s: s.size)
-        rows = pq.ParquetFile(io.BytesIO(self.storage.read(one.base_path))).metadata.num_rows
+        rows = pq.ParquetFile(io.BytesIO(self.storage.footer(one.base_path))).metadata.num_rows
         total = sum(s.size for s in slices)
         return round(rows * total / one.size), total
 
@@ -300,17 +303,26 @@ class Table:
         options = options or ReadOptions()
         if options.query_type == "incremental":
             raise UnsupportedError("incremental reads in batches")
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        df, size = self.read(options), options.batch_size
-        target, held = to_arrow_schema(df.schema), []
-        for row in df.toLocalIterator(prefetchPartitions=True):
-            held.append(row.asDict(recursive=True))
-            if len(held) == size:
-                yield pa.RecordBatch.from_pylist(held, schema=target)
-                held = []
+        size, held, n = options.batch_size, [], 0
+
+        def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, b.schema) as out:
+                    out.write_batch(b)
+                yield pa.record_batch([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["data"])
+
+        for row in self.read(options).mapInArrow(packed, "data binary").toLocalIterator(prefetchPartitions=True):
+            batch = pa.ipc.open_stream(row.data).read_next_batch()
+            while batch.num_rows:
+                part = batch.slice(0, size - n)
+                held.append(part)
+                n, batch = n + part.num_rows, batch.slice(part.num_rows)
+                if n == size:
+                    yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                    held, n = [], 0
         if held:
-            yield pa.RecordBatch.from_pylist(held, schema=target)
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
     def read_file_slice(self, file_slice: plan.FileSlice, options: ReadOptions | None = None) -> DataFrame:
         """One slice alone, merged as in read()."""
