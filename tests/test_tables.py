@@ -14,7 +14,7 @@ from tidelake.plans import groups, metadata
 from tidelake.plans.config import META_FIELDS, ReadOptions, TableConfig
 from tidelake.plans.timeline import parse_instant
 from tidelake.sources import hfile, logfile
-from tidelake.sources.writer import TableWriter, text, zigzag
+from tidelake.sources.writer import TableWriter
 from tidelake.streaming.incremental import IncrementalFollower
 from tidelake.table import Table
 
@@ -159,25 +159,6 @@ def test_view(spark, mor):
 
 # -- the metadata table
 
-METADATA_SCHEMA = {"type": "record", "name": "m", "fields": [{"name": "key", "type": "string"}, {"name": "type", "type": "int"}, {"name": "filesystemMetadata", "type": ["null", {"type": "map", "values": {"type": "record", "name": "f", "fields": [{"name": "size", "type": "long"}, {"name": "isDeleted", "type": "boolean"}]}}]}]}
-
-
-def entry(key, files):
-    body = b"".join(text(n) + zigzag(size) + (b"\1" if gone else b"\0") for n, (size, gone) in files.items())
-    return text(key) + zigzag(2) + zigzag(1) + (zigzag(len(files)) + body if files else b"") + zigzag(0)
-
-
-def with_metadata(w, base, changes=(), gzip=False):
-    """Files of the data table by name, as the base file and then log blocks of (instant, files) tell."""
-    m = TableWriter(w.spark, w.storage.path(".hoodie/metadata"), "{}", table__name="m", table__type="MERGE_ON_READ", table__version="8", table__partition__fields="partition", table__base__file__format="HFILE")
-    m.storage.write(hfile.build({".": entry(".", base), metadata.ALL_PARTITIONS: entry("x", {".": (0, False)})}, {"schema": json.dumps(METADATA_SCHEMA).encode()}, gzip), "files", f"files-0000-0_0-0-0_{T1}.hfile")
-    m.commit(T1, "deltacommit")
-    for time, files in changes:
-        content = hfile.build({".": entry(".", files)}, {}, gzip)
-        m.log("files", "files-0000-0", time, [logfile.frame(logfile.HFILE_DATA, {logfile.INSTANT_TIME: time, logfile.SCHEMA: json.dumps(METADATA_SCHEMA)}, content)])
-        m.commit(time, "deltacommit")
-
-
 @pytest.mark.parametrize("gzip", [False, True])
 def test_metadata_table(spark, tmp_path, gzip):
     w = writer(spark, tmp_path / "d", kind="COPY_ON_WRITE", table__metadata__partitions="files")
@@ -186,7 +167,7 @@ def test_metadata_table(spark, tmp_path, gzip):
         w.base(trips(spark, r), "", f"g{n}-0", T1)
         names.append(f"g{n}-0_0-0-0_{T1}.parquet")
     w.commit(T1)
-    with_metadata(w, {names[0]: (5, False), names[1]: (5, False)}, [(T2, {names[1]: (0, True), names[2]: (7, False)})], gzip)
+    w.metadata_table({"": {names[0]: (5, False), names[1]: (5, False)}}, T1, [(T2, {"": {names[1]: (0, True), names[2]: (7, False)}})], gzip)
     t = Table.open(spark, str(tmp_path / "d"))
     assert t.has_metadata_table
     assert sorted(fares(t.read())) == ["A", "C"]  # a listing would show B too

@@ -34,10 +34,13 @@ def file_id(partition: str, n: int = 0) -> str:
     return f"{uuid.uuid5(uuid.NAMESPACE_OID, partition)}-{n}"
 
 
-def orders_mor(spark: SparkSession, sf_dir: str) -> str:
-    """Inserts at C1; at C2 every key that ends in 3 doubles its price and every key that ends in 7 is deleted."""
+def orders_mor(spark: SparkSession, sf_dir: str, metadata: bool = False) -> str:
+    """Inserts at C1; at C2 every key that ends in 3 doubles its price and every key that ends in 7 is deleted.
+
+    ``metadata``: with a metadata table; it doesn't know the log file of the first priority."""
     path, df = folder(spark), orders(spark, sf_dir)
-    w = TableWriter(spark, path, SCHEMA, table__name="orders", table__type="MERGE_ON_READ", table__version="8", table__recordkey__fields="o_orderkey", table__ordering__fields="ts", table__partition__fields="o_orderpriority", datasource__write__hive_style_partitioning="true")
+    more = {"table__metadata__partitions": "files"} if metadata else {}
+    w = TableWriter(spark, path, SCHEMA, **more, table__name="orders", table__type="MERGE_ON_READ", table__version="8", table__recordkey__fields="o_orderkey", table__ordering__fields="ts", table__partition__fields="o_orderpriority", datasource__write__hive_style_partitioning="true")
     parts = priorities(df)
     for p in parts:
         w.base(df.where(F.col("o_orderpriority") == p), f"o_orderpriority={p}", file_id(p), C1)
@@ -49,6 +52,9 @@ def orders_mor(spark: SparkSession, sf_dir: str) -> str:
         gone = [(str(r[0]), 2) for r in own.where("o_orderkey % 10 = 7").select("o_orderkey").collect()]
         w.log(f"o_orderpriority={p}", file_id(p), C2, [w.data_block(rows, C2), w.delete_block(gone, C2)])
     w.commit(C2, "deltacommit")
+    if metadata:
+        folders = {f"o_orderpriority={p}": w.storage.listing(f"o_orderpriority={p}")[0] for p in parts}
+        w.metadata_table({d: {f.name: (f.size, False) for f in files if not f.name.startswith(".") or d != f"o_orderpriority={parts[0]}"} for d, files in folders.items()}, C2)
     return path
 
 

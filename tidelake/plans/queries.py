@@ -21,6 +21,12 @@ SQL = {
                round(avg(l_discount), 6) AS avg_disc, count(*) AS count_order
         FROM lineitem WHERE l_shipdate <= date '1998-12-01' - interval '68' day
         GROUP BY l_returnflag, l_linestatus ORDER BY l_returnflag, l_linestatus""",
+    "q2_least_by_group": """
+        SELECT s_acctbal, s_name, n_name, p_partkey, l_extendedprice FROM part, supplier, lineitem, nation, region
+        WHERE p_partkey = l_partkey AND s_suppkey = l_suppkey AND p_size < 10 AND p_type LIKE '%O%' AND s_nationkey = n_nationkey AND n_regionkey = r_regionkey AND r_regionkey = 2
+          AND l_extendedprice = (SELECT min(inside.l_extendedprice) FROM lineitem AS inside, supplier AS own, nation AS near
+            WHERE p_partkey = inside.l_partkey AND own.s_suppkey = inside.l_suppkey AND own.s_nationkey = near.n_nationkey AND near.n_regionkey = 2)
+        ORDER BY s_acctbal DESC, n_name, s_name, p_partkey, l_extendedprice LIMIT 100""",
     "q3_top_orders": """
         SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, o_orderdate
         FROM customer, orders, lineitem
@@ -53,6 +59,12 @@ SQL = {
           WHERE p_partkey = l_partkey AND s_suppkey = l_suppkey AND l_orderkey = o_orderkey AND o_custkey = c_custkey
             AND c_nationkey = n1.n_nationkey AND n1.n_regionkey = r_regionkey AND r_regionkey = 1 AND s_nationkey = n2.n_nationkey) AS all_nations
         GROUP BY o_year ORDER BY o_year""",
+    "q9_profit_by_year": """
+        SELECT nation, o_year, round(sum(amount), 2) AS sum_profit FROM (
+          SELECT n_name AS nation, extract(year FROM o_orderdate) AS o_year, l_extendedprice * (1 - l_discount) - p_retailprice * l_quantity AS amount
+          FROM part, supplier, lineitem, orders, nation
+          WHERE s_suppkey = l_suppkey AND p_partkey = l_partkey AND o_orderkey = l_orderkey AND s_nationkey = n_nationkey AND p_name LIKE '%co%') AS profit
+        GROUP BY nation, o_year ORDER BY nation, o_year DESC""",
     "q10_returned_items": """
         SELECT c_custkey, c_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, n_name
         FROM customer, orders, lineitem, nation
@@ -91,6 +103,12 @@ SQL = {
         SELECT round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem, part
         WHERE (p_partkey = l_partkey AND p_size BETWEEN 1 AND 5 AND l_quantity BETWEEN 1 AND 11)
            OR (p_partkey = l_partkey AND p_size BETWEEN 6 AND 15 AND l_quantity BETWEEN 10 AND 30)""",
+    "q20_nested_in": """
+        SELECT s_name, s_acctbal FROM supplier, nation
+        WHERE s_nationkey = n_nationkey AND n_nationkey < 12 AND s_suppkey IN (
+          SELECT l1.l_suppkey FROM lineitem l1 WHERE l1.l_partkey IN (SELECT p_partkey FROM part WHERE p_name LIKE 'co%')
+            AND l1.l_quantity > (SELECT 0.5 * avg(l2.l_quantity) FROM lineitem l2 WHERE l2.l_partkey = l1.l_partkey AND l2.l_shipdate >= timestamp '1995-01-01 00:00:00'))
+        ORDER BY s_name""",
     "q21_semi_anti_residual": """
         SELECT s_name, count(*) AS numwait FROM supplier, lineitem l1
         WHERE s_suppkey = l1.l_suppkey AND l1.l_returnflag = 'R'
@@ -122,6 +140,27 @@ def table_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Table.open(spark, orders_mor(spark, sf_dir)).read(ReadOptions().with_projection(*PLAIN))
 
 
+def table_metadata_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By the metadata table, which leaves out the first priority's log file."""
+    return Table.open(spark, orders_mor(spark, sf_dir, metadata=True)).read(ReadOptions().with_projection(*PLAIN))
+
+
+def table_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One partition's rows; the others' files aren't planned."""
+    return Table.open(spark, orders_mor(spark, sf_dir)).read(ReadOptions().with_filters(col("o_orderpriority").eq("1-URGENT")).with_projection(*PLAIN))
+
+
+def table_append_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and log rows side by side, without a merge."""
+    t = Table.open(spark, orders_mor(spark, sf_dir), {"hoodie.table.record.merge.strategy": "APPEND_ONLY"})
+    return t.read(ReadOptions().with_projection(*PLAIN))
+
+
+def table_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    instants = Table.open(spark, orders_cow(spark, sf_dir)).timeline.commits(newest_first=True)
+    return spark.createDataFrame([(i.time, i.action) for i in instants], "instant string, action string")
+
+
 def table_time_travel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Table.open(spark, orders_mor(spark, sf_dir)).read(ReadOptions().with_as_of(C1).with_projection(*PLAIN))
 
@@ -163,6 +202,10 @@ NOW = "SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderkey % 10 =
 ALL = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders"
 TABLE_QUERIES = {
     table_snapshot: NOW,
+    table_metadata_listing: f"{ALL} WHERE o_orderpriority = (SELECT min(o_orderpriority) FROM orders) UNION ALL SELECT * FROM ({NOW}) AS t WHERE o_orderpriority > (SELECT min(o_orderpriority) FROM orders)",
+    table_pruned: f"SELECT * FROM ({NOW}) AS t WHERE o_orderpriority = '1-URGENT'",
+    table_append_only: f"{ALL} UNION ALL SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice * 2, o_orderpriority FROM orders WHERE o_orderkey % 10 = 3",
+    table_timeline: f"SELECT '{C1}' AS instant, 'commit' AS action UNION ALL SELECT '{C2}', 'replacecommit'",
     table_time_travel: ALL,
     table_read_optimized: ALL,
     table_incremental: f"SELECT * FROM ({NOW}) AS t WHERE o_orderkey % 10 = 3",
