@@ -118,7 +118,7 @@ SQL = {
     "q22_anti_substring": """
         SELECT code, count(*) AS numcust, round(sum(c_acctbal), 2) AS totacctbal FROM (
           SELECT substring(c_name FROM 1 FOR 10) AS code, c_acctbal FROM customer
-          WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer WHERE c_acctbal > 0.00) AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)) AS custsale
+          WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer WHERE c_acctbal > 0.00) AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000)) AS custsale
         GROUP BY code ORDER BY code""",
 }
 
