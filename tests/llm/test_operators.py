@@ -217,6 +217,12 @@ def test_lm_scores(spark, docs, empty, order):
     assert lmscore.score(empty).count() == 0
 
 
+def test_lm_query_looks_at_more_than_one_word_before(spark, tmp_path):
+    spark.createDataFrame([(1, "a b c"), (2, "x b d")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = by_id(queries.op7_lm_scoring(spark, str(tmp_path)))
+    assert got[1].logprob == got[2].logprob == round(math.log(1 / 6), 4)  # c is certain after "a b", but not after "b"
+
+
 def brute_near(texts):
     sets = {}
     for i, t in texts.items():

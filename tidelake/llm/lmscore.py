@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, WordHashes, map_rows, materialise, mix64, utf8
 
-ORDER, ALPHA = 2, 0.4
+ORDER, ALPHA = 3, 0.4
 BLOCK_BYTES, PARTITION_BYTES = 4 << 20, 8 << 20
 BLOCKS = "block long, doc_ids array<long>, texts array<binary>, counted array<boolean>, scored array<boolean>, n_words long"
 _rng = np.random.default_rng(7)
