@@ -283,6 +283,22 @@ def test_licenses(docs, empty):
     assert got[14].n_base == 4 and licenses.scan(empty).count() == 0 and len(licenses.signatures()) > 300
 
 
+SPDX = {
+    "MIT": "mit", "MIT-0": "mit-0", "Apache-1.1": "apache-1-1", "Apache-2.0": "apache-2", "GPL-2.0-only": "gpl-2", "GPL-3.0-or-later": "gpl-3", "LGPL-2.1-only": "lgpl-2-1", "AGPL-3.0-only": "agpl-3",
+    "GFDL-1.3-or-later": "fdl-1-3", "MPL-2.0": "mpl-2", "EPL-1.0": "eclipse-1", "EPL-2.0": "eclipse-2", "CDDL-1.1": "cddl-1-1", "CPL-1.0": "cpl-1", "BSL-1.0": "boost-1", "Artistic-2.0": "artistic-2",
+    "OFL-1.1": "ofl-1-1", "OSL-3.0": "osl-3", "AFL-2.1": "afl-2-1", "EUPL-1.2": "eupl-1-2", "ODbL-1.0": "odbl-1", "BSD-1-Clause": "bsd-1-clause", "BSD-2-Clause": "bsd-2-clause", "BSD-3-Clause": "bsd-3-clause",
+    "BSD-4-Clause": "bsd-4-clause", "0BSD": "0bsd", "ISC": "isc", "Zlib": "zlib", "Unlicense": "unlicense", "CECILL-1.1": "cecill-1-1", "CECILL-2.0": "cecill-2", "CECILL-B": "cecill-b", "MS-PL": "ms-pl", "MS-RL": "ms-rl",
+    "PSF-2.0": "psf-2", "Python-2.0": "python-2", "W3C": "w3c", "ECL-2.0": "ecl-2", "UPL-1.0": "upl-1", "WTFPL": "wtfpl", "PostgreSQL": "postgresql", "CC0-1.0": "cc0-1", "CC-BY-4.0": "cc-by-4", "CC-BY-NC-SA-3.0": "cc-by-nc,cc-by-nc-sa-3",
+    "(MIT OR Apache-2.0)": "apache-2,mit", "Apache-2.0 WITH LLVM-exception OR ISC": "apache-2,isc", "GPL-2.0-or-later AND (Zlib OR BSL-1.0)": "boost-1,gpl-2,zlib",
+}
+
+
+def test_spdx_tags():
+    scanner = licenses.Scanner()
+    got = {tag: scanner.scan(f"// SPDX-License-Identifier: {tag}\n#include <x.h> // for speed and mit data".encode())[-2:] for tag in SPDX}
+    assert got == {tag: (labels, 1.0) for tag, labels in SPDX.items()}
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(spark, name):
     c = duckdb.connect()

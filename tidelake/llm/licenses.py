@@ -27,7 +27,10 @@ BASE_PHRASES = {"under the mit license": "mit", "apache license version 2": "apa
 
 @dataclass(frozen=True)
 class Signature:
-    """``regex`` is over words with one space between them; ``keyword`` is part of each match; ``weight`` is how sure a match is."""
+    """``regex`` is over words with one space between them; ``keyword`` is part of each match; ``weight`` is how sure a match is.
+
+    If ``regex`` has a group ``id``, the detection is that group's words.
+    """
 
     label: str
     regex: str
@@ -93,7 +96,7 @@ FAMILIES = (
     ("isc", ("isc license", "isc licence"), ("",)),
     ("zlib", ("zlib license", "zlib libpng license"), ("",)),
     ("unlicense", ("the unlicense", "unlicense org"), ("",)),
-    ("cecill", ("cecill",), ("1", "2", "2 1", "b", "c", "")),
+    ("cecill", ("cecill",), ("1", "1 1", "2", "2 1", "b", "c", "")),
     ("ms-pl", ("microsoft public license", "ms pl"), ("",)),
     ("ms-rl", ("microsoft reciprocal license", "ms rl"), ("",)),
     ("psf", ("python software foundation license",), ("2", "")),
@@ -102,6 +105,17 @@ FAMILIES = (
     ("upl", ("universal permissive license",), ("1 0", "")),
     ("rail", ("responsible ai license", "openrail m", "openrail"), ("",)),
 )
+#: The SPDX ids of families without their versions, as words (fixed values); "rail" and the unnumbered "bsd" have none.
+SPDX_IDS = {
+    "apache": ("apache",), "gpl": ("gpl",), "lgpl": ("lgpl",), "agpl": ("agpl",), "fdl": ("gfdl",), "mpl": ("mpl",), "eclipse": ("epl",),
+    "cddl": ("cddl",), "cpl": ("cpl",), "boost": ("bsl",), "artistic": ("artistic",), "ofl": ("ofl",), "osl": ("osl",), "afl": ("afl",), "eupl": ("eupl",),
+    "odbl": ("odbl",), "mit": ("mit",), "bsd-2-clause": ("bsd 2 clause",), "bsd-3-clause": ("bsd 3 clause",), "isc": ("isc",), "zlib": ("zlib",),
+    "unlicense": ("unlicense",), "cecill": ("cecill",), "ms-pl": ("ms pl",), "ms-rl": ("ms rl",), "psf": ("psf",), "w3c": ("w3c",), "ecl": ("ecl",), "upl": ("upl",),
+}
+#: SPDX ids of licenses that are no family: label, id.
+SPDX_SINGLE = (("mit-0", "mit 0"), ("0bsd", "0bsd"), ("bsd-1-clause", "bsd 1 clause"), ("bsd-4-clause", "bsd 4 clause"), ("wtfpl", "wtfpl"), ("postgresql", "postgresql"), ("cc0-1", "cc0 1 0"), ("python-2", "python 2 0"))
+#: Further words of SPDX expressions, such as "(GPL-2.0-only WITH Classpath-exception-2.0 OR MIT)".
+SPDX_WORDS = ("and", "or", "only", "later", "with", "exception", "classpath", "linux", "syscall", "note", "llvm", "gcc", "cc", "by", "nc", "nd", "sa")
 CREATIVE, CREATIVE_VERSIONS = ("by", "by sa", "by nd", "by nc", "by nc sa", "by nc nd"), ("1 0", "2 0", "2 5", "3 0", "4 0", "")
 CREATIVE_WORDS = {"by": "attribution", "sa": "share ?alike", "nd": "no ?deriv(?:ative)?s?", "nc": "non ?commercial"}
 
@@ -109,8 +123,16 @@ CREATIVE_WORDS = {"by": "attribution", "sa": "share ?alike", "nd": "no ?deriv(?:
 def signatures() -> tuple[Signature, ...]:
     """All rules in order of priority: whole clauses, tag lines, grants of a named license, then bare names; longer names and exact versions first."""
     grant = r"(?:licen[sc]ed|released|distributed|available|published|provided|covered) (?:to you )?under (?:the )?(?:terms of )?(?:the )?"
+    vocabulary = {w for ids in SPDX_IDS.values() for i in ids for w in i.split()} | {w for _, i in SPDX_SINGLE for w in i.split()} | set(SPDX_WORDS)
+    in_expression = rf"spdx license identifier (?:(?:(?:{'|'.join(sorted(vocabulary))}|\d+) ){{1,24}}?(?:and|or) )??"
     tags, grants, bare = [], [], []
+    for label, name in SPDX_SINGLE:
+        tags.append(Signature(label, rf"{in_expression}(?P<id>{name}(?: or later)?)", "spdx license", 1.0))
     for stem, names, versions in FAMILIES:
+        for name in SPDX_IDS.get(stem, ()):
+            for v in versions:
+                label = "-".join([stem, *v.split()]).removesuffix("-0") if v else stem
+                tags.append(Signature(label, rf"{in_expression}(?P<id>{f'{name} {v}'.strip()}(?: or later)?)", "spdx license", 1.0))
         for name in names:
             for v in versions:
                 label = "-".join([stem, *v.split()]).removesuffix("-0") if v else stem
@@ -166,8 +188,9 @@ class Scanner:
         for n in sorted({n for k, rules in self.by_keyword.items() if k in text for n in rules}):
             label, regex, weight = self.rules[n]
             for m in regex.finditer(text):
-                if not any(a <= m.start() and m.end() <= b for a, b, _, _ in found):
-                    found.append((m.start(), m.end(), label, weight))
+                start, end = m.span("id" if "id" in regex.groupindex else 0)
+                if not any(a <= start and end <= b for a, b, _, _ in found):
+                    found.append((start, end, label, weight))
         labels = base_labels | {f[2] for f in found}
         score = max([f[3] for f in found] + [1.0] * bool(spots), default=0.0)
         return len(words), len(spots), min(starts, default=None), max(starts, default=None), ",".join(sorted(base_labels)), ",".join(sorted(labels)), score
