@@ -283,6 +283,14 @@ def test_licenses(docs, empty):
     assert got[14].n_base == 4 and licenses.scan(empty).count() == 0 and len(licenses.signatures()) > 300
 
 
+def test_clusters_are_groups_and_not_outliers():
+    rng = np.random.default_rng(2)
+    groups = np.repeat(np.eye(60)[:4] + np.eye(60)[4] * 2, 50, axis=0) + rng.normal(0, 0.05, (200, 60))
+    rows = langid.unit(np.concatenate([groups, np.eye(60)[50:55]]).astype(np.float32))
+    of = (rows @ langid.cluster(rows, 4).T).argmax(axis=1)[:200].reshape(4, 50)
+    assert sorted(of[:, 0].tolist()) == [0, 1, 2, 3] and (of == of[:, :1]).all()
+
+
 SPDX = {
     "MIT": "mit", "MIT-0": "mit-0", "Apache-1.1": "apache-1-1", "Apache-2.0": "apache-2", "GPL-2.0-only": "gpl-2", "GPL-3.0-or-later": "gpl-3", "LGPL-2.1-only": "lgpl-2-1", "AGPL-3.0-only": "agpl-3",
     "GFDL-1.3-or-later": "fdl-1-3", "MPL-2.0": "mpl-2", "EPL-1.0": "eclipse-1", "EPL-2.0": "eclipse-2", "CDDL-1.1": "cddl-1-1", "CPL-1.0": "cpl-1", "BSL-1.0": "boost-1", "Artistic-2.0": "artistic-2",

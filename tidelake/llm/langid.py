@@ -21,7 +21,7 @@ from .common import map_rows
 DIMS = 1 << 12
 #: The sample that centroids are fitted on: about so many rows of each language, chosen by a hash of doc_id.
 SAMPLE_PER_LANGUAGE = 600
-CENTROIDS, ROUNDS = 4, 12
+CENTROIDS, ROUNDS, RESTARTS = 4, 12, 5
 #: A text is rejected below this share of the cosine that all but one in a thousand sample rows of its length exceed.
 REJECT_SHARE = 0.2
 UNDETERMINED = "und"
@@ -73,17 +73,22 @@ class Model:
         return out
 
 
-def cluster(rows: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
-    """Spherical k-means from rows far apart (each start is the row least like the starts before it)."""
-    mean = unit(rows.mean(axis=0))
-    starts = [int((rows @ mean).argmax())]
-    while len(starts) < min(k, len(rows)):
-        starts.append(int((rows @ rows[starts].T).max(axis=1).argmin()))
-    centres = rows[starts]
-    for _ in range(rounds):
-        of = (rows @ centres.T).argmax(axis=1)
-        centres = unit(np.array([rows[of == c].mean(axis=0) if (of == c).any() else centres[c] for c in range(len(centres))]))
-    return centres
+def cluster(rows: np.ndarray, k: int, rounds: int = ROUNDS, restarts: int = RESTARTS) -> np.ndarray:
+    """Spherical k-means from k-means++ starts (random by squared distance); of ``restarts`` runs the one of greatest total cosine."""
+    rng, best, most = np.random.default_rng(11), rows[:0], -np.inf
+    for _ in range(restarts):
+        starts = [int(rng.integers(len(rows)))]
+        while len(starts) < min(k, len(rows)):
+            apart = np.maximum(1 - (rows @ rows[starts].T).max(axis=1).astype(np.float64), 1e-12)  # half the squared distance
+            apart[starts] = 0
+            starts.append(int(rng.choice(len(rows), p=apart / apart.sum())))
+        centres = rows[starts]
+        for _ in range(rounds):
+            of = (rows @ centres.T).argmax(axis=1)
+            centres = unit(np.array([rows[of == c].mean(axis=0) if (of == c).any() else centres[c] for c in range(len(centres))]))
+        if (total := float((rows @ centres.T).max(axis=1).sum())) > most:
+            best, most = centres, total
+    return best
 
 
 def held_out() -> F.Column:
