@@ -5,6 +5,8 @@ Each stage gets what its predecessor kept; all but the last keep the columns of
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tidelake.llm import decontam, exact, langid, neardup, packing
@@ -38,8 +40,15 @@ STAGES = [("language", language), ("exact_dedup", exact_copies), ("near_dedup",
 ORACLE_SQL = None
 
 
+log = logging.getLogger(__name__)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces of what all stages keep; how many rows each stage drops is logged."""
     docs = documents(spark, sf_dir)
+    n = docs.count()
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name)
+        before, n = n, docs.count()
+        log.info("%s drops %d of %d rows", name, before - n, before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -291,6 +291,17 @@ def test_clusters_are_groups_and_not_outliers():
     assert sorted(of[:, 0].tolist()) == [0, 1, 2, 3] and (of == of[:, :1]).all()
 
 
+def test_rejection_of_letters_without_language(spark):
+    own = spark.read.parquet(f"{SF}/documents.parquet")
+    model, rng = langid.fit(own), np.random.default_rng(4)
+    noise = " ".join("".join(map(chr, rng.integers(97, 123, n))) for n in rng.integers(3, 9, 200))
+    assert [r for _, _, r in model.predict([noise, "Привет"])] == [True, True]
+    assert not any(r.rejected for r in langid.predict(own, model).collect())
+    few = dict(langid.floors(np.array([3] * 9 + [40] * 100), np.linspace(0.3, 0.5, 109)))
+    assert few[16] == pytest.approx(0.06, rel=0.01) and few[64] == pytest.approx(0.0633, rel=0.01)
+    assert set(dict(langid.floors(np.array([3]), np.array([1.0]))).values()) == {0.0}
+
+
 SPDX = {
     "MIT": "mit", "MIT-0": "mit-0", "Apache-1.1": "apache-1-1", "Apache-2.0": "apache-2", "GPL-2.0-only": "gpl-2", "GPL-3.0-or-later": "gpl-3", "LGPL-2.1-only": "lgpl-2-1", "AGPL-3.0-only": "agpl-3",
     "GFDL-1.3-or-later": "fdl-1-3", "MPL-2.0": "mpl-2", "EPL-1.0": "eclipse-1", "EPL-2.0": "eclipse-2", "CDDL-1.1": "cddl-1-1", "CPL-1.0": "cpl-1", "BSL-1.0": "boost-1", "Artistic-2.0": "artistic-2",

@@ -22,8 +22,11 @@ DIMS = 1 << 12
 #: The sample that centroids are fitted on: about so many rows of each language, chosen by a hash of doc_id.
 SAMPLE_PER_LANGUAGE = 600
 CENTROIDS, ROUNDS, RESTARTS = 4, 12, 5
-#: A text is rejected below this share of the cosine that all but one in a thousand sample rows of its length exceed.
-REJECT_SHARE = 0.2
+#: Steps of length (trigrams at most), and the share of the cosine that all but one in a thousand sample rows of its step
+#: exceed below which a text is rejected. Short texts vary most: half would reject some in a language that is known.
+STEPS, REJECT_SHARES = (16, 64, 256, 1024, 1 << 62), (0.2, 0.2, 0.2, 0.5, 0.5)
+#: A step with fewer sample rows takes in those of the nearest steps, the longer first.
+LEAST_ROWS = 20
 UNDETERMINED = "und"
 
 #: Bytes that part words are all made a space: ASCII other than letters.
@@ -91,6 +94,17 @@ def cluster(rows: np.ndarray, k: int, rounds: int = ROUNDS, restarts: int = REST
     return best
 
 
+def floors(size: np.ndarray, cosine: np.ndarray) -> tuple[tuple[int, float], ...]:
+    """``Model.floor`` from the sample rows' numbers of trigrams and greatest cosines; 0 throughout if there are fewer than LEAST_ROWS rows in all."""
+    step = np.searchsorted(STEPS, size)
+    out = []
+    for i, (most, share) in enumerate(zip(STEPS, REJECT_SHARES, strict=True)):
+        wider = sorted(range(len(STEPS)), key=lambda j: (abs(j - i), -j))
+        here = next((h for n in range(1, len(STEPS) + 1) if len(h := cosine[np.isin(step, wider[:n])]) >= LEAST_ROWS), None)
+        out.append((most, 0.0 if here is None else float(np.quantile(here, 0.001)) * share))
+    return tuple(out)
+
+
 def held_out() -> F.Column:
     """Whether crc32 of doc_id as text leaves 2 when divided by 4; such rows are never learned from."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -146,13 +160,7 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, centroids: int
         centres.append(got)
         labels += [lang] * len(got)
     centres = np.concatenate(centres)
-    size, cosine = counts.sum(axis=1), (vectors @ centres.T).max(axis=1)
-    floor, low = [], 0
-    for most in (16, 64, 256, 1024, 1 << 62):
-        here = cosine[(size > low) & (size <= most)]
-        floor.append((most, float(np.quantile(here, 0.001)) * REJECT_SHARE if len(here) >= 20 else 0.0))
-        low = most
-    return Model(idf, centres, tuple(labels), tuple(floor))
+    return Model(idf, centres, tuple(labels), floors(counts.sum(axis=1), (vectors @ centres.T).max(axis=1)))
 
 
 PREDICTED = "lang_pred string, score double, rejected boolean"
