@@ -110,6 +110,13 @@ def test_secrets(spark, docs, empty):
     assert secretscan.trigram_query("abcd|xyz") == ("or", ("and", b"abc", b"bcd"), b"xyz")
 
 
+def test_long_url_logins(spark):
+    urls = [f"https://oauth2:{'Zk9' * 40}@host/x", f"https://{'u' * 300}:pass@host", "ftp://a:b:cd@h", "http://host:80/a@b", "http://a:b@h"]
+    got = by_id(secretscan.scan(spark.createDataFrame(list(enumerate(urls)), "doc_id long, text string")))
+    ends = [len(urls[0]) - 6, len(urls[1]) - 4, len(urls[2]) - 1, None, None]
+    assert [re.findall(r"url_login:(\d+):(\d+)", got[i][-1]) for i in range(5)] == [[("0", str(e))] if e else [] for e in ends]
+
+
 def test_cuckoo_index():
     index, keys = exact.CuckooIndex(2), [hashlib.sha256(str(i).encode()).digest() for i in range(5000)]
     for k in keys:

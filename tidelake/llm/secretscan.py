@@ -49,7 +49,7 @@ OWN_RULES = (
     Rule("maps_key", r"\bAIza[A-Za-z0-9_-]{35}"),
     Rule("signed_token", r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("mail_key", r"\bSG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}"),
-    Rule("url_login", r"[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s/:@\"']{1,64}:[^\s/:@\"']{3,64}@"),
+    Rule("url_login", r"[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s/:@\"']+:[^\s/@\"']{3,}@"),
     Rule("bearer", r"(?ai:authorization)[\"']?\x20*:\x20*[\"']?(?ai:bearer)\x20+([A-Za-z0-9._~+/=-]{16,})", 1),
 )
 RULES = BASE_RULES + OWN_RULES
