@@ -87,6 +87,16 @@ def test_plan_holds_every_piece_and_is_near_the_bound():
     assert packing.plan({}) == []
 
 
+def test_plan_prices_each_length_many_times(monkeypatch):
+    rounds, real = [], packing.best_configuration
+    monkeypatch.setattr(packing, "best_configuration", lambda *a: rounds.append(1) or real(*a))
+    lengths = np.arange(100, 400, 10)
+    found, covered = packing.solve_lp(lengths, np.full(30, 50), 1024), np.zeros(30)
+    for config, x in found:
+        covered[list(config)] += x * np.array(list(config.values())) / 50
+    assert (covered > 1 - 1e-6).all() and len(rounds) >= 3 * len(lengths)
+
+
 def brute_secrets(t):
     out = []
     key = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in k) for k in ("password", "passwd", "secret", "token")) + "|[Aa][Pp][Ii]_?[Kk][Ee][Yy]"

@@ -58,7 +58,11 @@ def best_configuration(weights: np.ndarray, lengths: np.ndarray, most: np.ndarra
     return Counter({i: min(n, int(most[i])) for i, n in out.items()})
 
 
-def solve_lp(lengths: np.ndarray, demand: np.ndarray, capacity: int, step: float = 1.0, sharpness: float = 1.0) -> list[tuple[Counter, float]]:
+#: What share of a length's demand one round covers at most: each length is priced some ten times, as its weight falls.
+STEP = 0.1
+
+
+def solve_lp(lengths: np.ndarray, demand: np.ndarray, capacity: int, step: float = STEP, sharpness: float = 1.0) -> list[tuple[Counter, float]]:
     """Configurations and how many of each, together covering every length's demand as a fraction of one or more.
 
     ``step`` bounds how much of any length one round covers; a covered length leaves the program, so there are at
