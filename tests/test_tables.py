@@ -1,5 +1,6 @@
 """Tables written here and read back: merges, time travel, incremental reads, the metadata table, and the parts they rest on."""
 
+import io
 import json
 import struct
 
@@ -14,6 +15,7 @@ from tidelake.plans import groups, metadata
 from tidelake.plans.config import META_FIELDS, ReadOptions, TableConfig
 from tidelake.plans.timeline import parse_instant
 from tidelake.sources import hfile, logfile
+from tidelake.sources.datasource import TableReader, create_table, register, support, to_filter
 from tidelake.sources.writer import TableWriter
 from tidelake.streaming.incremental import IncrementalFollower
 from tidelake.table import Table
@@ -99,7 +101,7 @@ def test_tombstones(spark, tmp_path, ordering, stays):
 def test_uncompleted_files_are_hidden(spark, mor):
     w = TableWriter.__new__(TableWriter)
     t = Table.open(spark, mor)
-    w.spark, w.storage, w.stats, w.keys = spark, t.storage, {}, ["uuid"]
+    w.spark, w.storage, w.stats, w.keys, w.latest = spark, t.storage, {}, ["uuid"], {}
     w.log("", "g1-0", "20240109000000000", [rows_block(w, trips(spark, "D", 50, 77.0), "20240109000000000")])
     w.base(trips(spark, "Z"), "", "g2-0", "20240109000000000")
     assert fares(Table.open(spark, mor).read())["D"] == 10.0
@@ -252,12 +254,12 @@ def test_log_files_that_end_early():
         with pytest.raises(CorruptFileError):
             list(logfile.blocks(data))
     with pytest.raises(UnsupportedError):
-        logfile.deletes(logfile.Block(logfile.DELETE, {}, struct.pack(">II", 1, 0)))
+        logfile.deletes(logfile.Block(logfile.DELETE, {}, io.BytesIO(struct.pack(">II", 1, 0)), 0, 8))
 
 
 def test_options_and_properties(spark, tmp_path):
     o = ReadOptions().with_option("hoodie.read.as.of.timestamp", "20240101000000").with_option("hoodie.read.stream.batch_size", "7")
-    assert (o.as_of, o.batch_size) == (T1, 7)
+    assert (o.resolved("utc").as_of, o.batch_size) == (T1, 7)
     for bad in (lambda: ReadOptions().with_query_type("cdc"), lambda: ReadOptions().with_batch_size(0), lambda: Table.open(spark, str(tmp_path / "none"))):
         with pytest.raises(ConfigError):
             bad()
@@ -298,4 +300,151 @@ def test_footers(spark, tmp_path, monkeypatch):
         t = Table.open(spark, str(tmp_path / "f"), {"hoodie.plan.prune.files": "true"})
         assert [s.file_id for s in t.file_slices(some)] == ["g1-0"]
         assert len(t.file_slices()) == 2 and t.stats()[0] == pytest.approx(4, abs=1)
-    assert len(Table.open(spark, str(tmp_path / "f")).file_slices(some)) == 2  # off by default
+    t = Table.open(spark, str(tmp_path / "f"))
+    assert len(t.file_slices(some.with_option("hoodie.plan.prune.files", "false"))) == 2  # on by default
+    monkeypatch.setattr("tidelake.table.FOOTERS_HERE", 1)  # by tasks
+    assert [s.file_id for s in t.file_slices(some)] == ["g1-0"] == [s.file_id for s in t.file_slices(ReadOptions().with_filters(("fare", ">=", "50.0")))]
+    assert groups.totals(t.with_rows(t.file_slices()))[0] == pytest.approx(4, abs=1)
+    assert groups.totals(t.file_slices())[0] is None
+
+
+def test_log_files_of_a_store_that_arrow_does_not_know(spark, mor, tmp_path):
+    conf = spark._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.tables.link./t", f"file://{mor}")
+    want = sorted(map(tuple, Table.open(spark, mor).read().collect()))
+    assert sorted(map(tuple, Table.open(spark, "viewfs://tables/t").read().collect())) == want
+
+
+def test_source_plans_what_catalyst_hands_it(spark, tmp_path):
+    from pyspark.sql import datasource as ds
+
+    w = writer(spark, tmp_path / "p", table__partition__fields="city", datasource__write__hive_style_partitioning="true")
+    for city, fare in (("sf", 1.0), ("la", 50.0), ("ny", 90.0)):
+        w.base(trips(spark, "AB", fare=fare).withColumn("city", F.lit(city)), f"city={city}", f"{city}-0", T1)
+    w.commit(T1, "deltacommit")
+    w.log("city=la", "la-0", T2, [rows_block(w, trips(spark, "B", 9, 3.0).withColumn("city", F.lit("la")), T2), w.delete_block([("id-A", 9)], T2)])
+    w.commit(T2, "deltacommit")
+    register(spark)
+    path = str(tmp_path / "p")
+    df = spark.read.format("tidelake").load(path)
+    assert sorted(map(tuple, df.collect())) == sorted(map(tuple, Table.open(spark, path).read().collect()))
+    assert {(r.city, r.fare) for r in df.where("city = 'la'").collect()} == {("la", 3.0)}
+
+    def planned(*filters):
+        reader = TableReader({"path": path}, df.schema)
+        rest = list(reader.pushFilters(list(filters)))
+        return {s.partition for p in reader.partitions() for s in p.slices}, [support(f, reader.table) for f in filters], len(rest)
+
+    city = lambda v: ds.EqualTo(("city",), v)
+    assert planned() == ({"city=sf", "city=la", "city=ny"}, [], 0)
+    assert planned(city("la")) == ({"city=la"}, ["exact"], 0)
+    assert planned(ds.Not(city("la"))) == ({"city=sf", "city=ny"}, ["inexact"], 1)
+    assert planned(ds.In(("city",), ("sf", "xx")), ds.StringContains(("rider",), "A")) == ({"city=sf"}, ["inexact", "unsupported"], 2)
+    assert planned(ds.GreaterThan(("city",), "m"), ds.IsNotNull(("city",)), ds.LessThanOrEqual(("ts",), 5)) == ({"city=sf", "city=ny"}, ["inexact", "unsupported", "inexact"], 3)
+    assert to_filter(ds.Not(ds.Not(ds.EqualTo(("a", "b"), True)))) == Filter("a.b", "=", ("true",)) and to_filter(ds.EqualTo(("a",), b"x")) is None
+
+    create_table(spark, "trips_of_the_source", path)
+    ask = "SELECT count(*) FROM trips_of_the_source WHERE city = 'sf'"
+    assert spark.sql(ask).first()[0] == 2
+    w.base(trips(spark, "C").withColumn("city", F.lit("sf")), "city=sf", "sf-1", T3)
+    w.commit(T3, "deltacommit")
+    assert spark.sql(ask).first()[0] == 3  # planned anew
+    then = spark.read.format("tidelake").option("hoodie.read.as.of.timestamp", T1).option("hoodie.read.input.partitions", "2").load(path)
+    assert then.count() == 6 and len(TableReader({"path": path, "hoodie.read.input.partitions": "2"}, df.schema).partitions()) == 2
+    spark.sql("DROP TABLE trips_of_the_source")
+    with pytest.raises(Exception, match="path"):
+        spark.read.format("tidelake").load().count()
+
+
+def test_merge_in_memory_agrees_with_spark(spark, tmp_path):
+    from tidelake.plans import fixtures
+
+    path = fixtures.orders_logs(spark, "/root/testdata/sf0.001")
+    register(spark)
+    assert sorted(map(tuple, spark.read.format("tidelake").load(path).collect())) == sorted(map(tuple, Table.open(spark, path).read().collect()))
+
+
+@pytest.mark.parametrize("version", ["6", "8"])
+def test_archived_instants(spark, tmp_path, version):
+    w = writer(spark, tmp_path / "a", kind="COPY_ON_WRITE", version=version)
+    for n, (rider, t) in enumerate((("A", T2), ("B", T3))):
+        w.base(trips(spark, rider), "", f"g{n}-0", t)
+        w.commit(t)
+    w.base(trips(spark, "C"), "", "g2-0", T4)  # under way
+    w.base(trips(spark, "D"), "", "g3-0", T1)  # failed long ago, and still in the timeline
+    folder = ".hoodie/timeline" if version == "8" else ".hoodie"
+    w.storage.write(b"", folder, f"{T1}.commit.inflight" if version == "8" else f"{T1}.inflight")
+    w.archive(T2)
+    path = str(tmp_path / "a")
+    t = Table.open(spark, path)
+    assert set(fares(t.read())) == {"A", "B"} and [i.time for i in t.timeline.commits()] == [T3]
+    t = Table.open(spark, path, {"hoodie.internal.timeline.archived.enabled": "true"})
+    assert [i.time for i in t.timeline.commits()] == [T2, T3] and t.timeline.latest == T3
+    since = ReadOptions().with_query_type("incremental")
+    assert set(fares(t.read(since.with_start(T1)))) == {"A", "B"} and set(fares(t.read(since.with_end(T2)))) == {"A"}
+
+
+def test_follower_gets_late_completions(spark, tmp_path):
+    w, got = writer(spark, tmp_path / "f", kind="COPY_ON_WRITE"), []
+    follower = IncrementalFollower(spark, str(tmp_path / "f"), lambda df, n: got.append((n, sorted(fares(df)))), str(tmp_path / "c"))
+    for rider, t, done in (("A", T1, T1), ("C", T3, T3), ("B", T2, T4)):  # T2 began before T3 and ended after it
+        w.base(trips(spark, rider), "", f"{rider}-0", t)
+        w.commit(t, completion=done)
+        assert follower.run_once() and not follower.run_once()
+    assert got == [(0, ["A"]), (1, ["C"]), (2, ["B"])]
+
+
+def test_one_slice_with_options(spark, mor):
+    t = Table.open(spark, mor)
+    s = t.file_slices()[0]
+    some = ReadOptions().with_filters(("rider", "IN", "rider-C,rider-D")).with_projection("rider")
+    assert sorted(r.rider for r in t.read_file_slice(s, some).collect()) == ["rider-C", "rider-D"] and t.read_file_slice(s, some).columns == ["rider"]
+    assert sum(b.num_rows for b in t.read_file_slice_stream(s, some.with_batch_size(1))) == 2
+    assert t.read_file_slice(s, ReadOptions().with_read_optimized()).count() == 8
+
+
+def test_filters_that_cannot_be_compared_prune_nothing():
+    from datetime import UTC, datetime
+    from decimal import Decimal
+
+    assert Filter.of("a", "=", "x").may_hold(Decimal(1), Decimal(2)) and Filter.of("a", "<", "x").holds(Decimal(1))
+    assert Filter.of("a", ">", "2024-01-01T00:00:00").may_hold(datetime(2020, 1, 1, tzinfo=UTC), datetime(2021, 1, 1, tzinfo=UTC))
+    assert not Filter.of("a", ">", "2024-01-01T00:00:00+00:00").may_hold(datetime(2020, 1, 1, tzinfo=UTC), datetime(2021, 1, 1, tzinfo=UTC))
+    with pytest.raises(UnsupportedError):
+        ReadOptions().with_filters(("a", "~", "1"))
+    for key in ("hoodie.read.nothing", "other"):
+        with pytest.raises(ConfigError):
+            ReadOptions().with_option(key, "1")
+
+
+@pytest.mark.parametrize("leaf", [0, 3])
+def test_index_files_by_their_block_index(leaf):
+    records = {f"key-{n:04d}" + "x" * (200 if n == 77 else 0): str(n).encode() for n in range(100)}
+    f = hfile.IndexFile(hfile.build(records, {"schema": b"s"}, per_leaf=leaf))
+    assert dict(f) == records and f.info() == {"schema": b"s"}
+    decoded = []
+    f._records, real = lambda at: decoded.append(at) or real(at), f._records
+    assert f.lookup(["key-0000", "key-0050", "key-0051", "nothing", "key-9", "a"]) == {"key-0000": b"0", "key-0050": b"50", "key-0051": b"51"}
+    assert len(decoded) == 3
+    assert f.prefixed("key-001") == {k: v for k, v in records.items() if k.startswith("key-001")} and len(decoded) == 10
+    assert not f.prefixed("zzz") and not f.prefixed("a") and list(hfile.IndexFile(hfile.build({}, {}))) == []
+
+
+def test_formats_by_extension():
+    assert groups.format_of("x.parquet") == "parquet" == groups.format_of("x.lance", "parquet") and groups.format_of("x.LANCE") == "lance"
+    assert groups.parse_base("a_0_20240101000000000.lance") and not groups.parse_base("a_0_20240101000000000.txt")
+
+
+def test_times_in_the_local_zone(monkeypatch):
+    import time
+
+    monkeypatch.setenv("TZ", "Asia/Tokyo")
+    time.tzset()
+    try:
+        assert normalise("1704164645", "local") == "20240102120405000" == normalise("2024-01-02T03:04:05Z", "local")
+        assert normalise("20240102030405", "local") == "20240102030405000" == normalise("2024-01-02T03:04:05", "local")
+    finally:
+        monkeypatch.undo()
+        time.tzset()
+    with pytest.raises(TimelineError):
+        normalise("1704164645", "mars")

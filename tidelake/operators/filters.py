@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 from ..errors import SchemaError, UnsupportedError
 
+#: A literal that is no value of the type (a bad decimal is an ArithmeticError), or times with and without a zone.
+INCOMPARABLE = (TypeError, ValueError, ArithmeticError)
 NEGATED = {"=": "!=", "!=": "=", "<": ">=", ">=": "<", ">": "<=", "<=": ">", "IN": "NOT IN", "NOT IN": "IN"}
 
 
@@ -71,33 +73,32 @@ class Filter:
         """Whether a value between ``least`` and ``most`` can pass; None is unbounded. Lists and unknown types always may."""
         if self.op in ("IN", "NOT IN"):
             return True
-        kind = type(least if least is not None else most)
         try:
-            v = cast_value(self.values[0], kind)
-        except (TypeError, ValueError):
+            v = cast_value(self.values[0], type(least if least is not None else most))
+            low, high = least is None or least <= v, most is None or v <= most
+            return {
+                "=": low and high,
+                "!=": not (least is not None and least == most == v),
+                "<": least is None or least < v,
+                "<=": low,
+                ">": most is None or most > v,
+                ">=": high,
+            }[self.op]
+        except INCOMPARABLE:
             return True
-        low, high = least is None or least <= v, most is None or v <= most
-        return {
-            "=": low and high,
-            "!=": not (least is not None and least == most == v),
-            "<": least is None or least < v,
-            "<=": low,
-            ">": most is None or most > v,
-            ">=": high,
-        }[self.op]
 
     def holds(self, value: Any) -> bool:
         """For one known value; True where it can't be compared."""
         try:
             values = [cast_value(v, type(value)) for v in self.values]
-        except (TypeError, ValueError):
+            if self.op == "IN":
+                return value in values
+            if self.op == "NOT IN":
+                return value not in values
+            v = values[0]
+            return {"=": value == v, "!=": value != v, "<": value < v, "<=": value <= v, ">": value > v, ">=": value >= v}[self.op]
+        except INCOMPARABLE:
             return True
-        if self.op == "IN":
-            return value in values
-        if self.op == "NOT IN":
-            return value not in values
-        v = values[0]
-        return {"=": value == v, "!=": value != v, "<": value < v, "<=": value <= v, ">": value > v, ">=": value >= v}[self.op]
 
 
 def cast_value(text: str, kind: type) -> Any:
@@ -148,8 +149,12 @@ class col:  # noqa: N801
         return Filter.of(self.name, "NOT IN", values)
 
 
+def as_filter(given: Any) -> Filter | Column:
+    return given if isinstance(given, Filter | Column) else Filter.of(*given)
+
+
 def as_filters(given: Sequence) -> list[Filter]:
-    return [f if isinstance(f, Filter) else Filter.of(*f) for f in given if not isinstance(f, Column)]
+    return [f for f in map(as_filter, given) if isinstance(f, Filter)]
 
 
 def field_type(schema: T.StructType, name: str) -> T.DataType:

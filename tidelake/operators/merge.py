@@ -1,41 +1,40 @@
-"""Merge on read as DataFrame operations: a slice's base rows, its log rows and its tombstones."""
+"""Merge on read as DataFrame operations: a slice's base rows and what its log files say, deletions included."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..plans.config import APPEND_ONLY, COMMIT_SEQNO, COMMIT_TIME, RECORD_KEY
 
-SLICE = "__slice"
+#: Columns beside a table's own: a row's file slice, and whether it is a deletion (key, ordering value and time only).
+SLICE, DEAD = "__slice", "__dead"
 
 
-def append_only(base: DataFrame, logs: DataFrame | None) -> DataFrame:
-    """All rows; deletes don't count."""
-    return base if logs is None else base.unionByName(logs)
+def append_only(rows: DataFrame) -> DataFrame:
+    """All rows; deletions don't count."""
+    return rows.where(~F.col(DEAD))
 
 
-def latest_wins(base: DataFrame, logs: DataFrame | None, tombstones: DataFrame | None, ordering: str) -> DataFrame:
-    """Per slice and record key the row greatest by (ordering, sequence number), unless a delete outranks it.
+def latest_wins(rows: DataFrame, ordering: str) -> DataFrame:
+    """Per slice and record key the row greatest by (ordering, sequence number), unless a deletion outranks it.
 
-    The delete side keeps the greatest ordering and the greatest commit time of a key each for itself. A greatest
-    ordering of 0 means that commit times decide; else the ordering does, and commit times on a tie. A null ordering
-    is the least. Only slices with log files come here; others need no shuffle.
+    Of a key's deletions the greatest ordering and the greatest commit time count, each for itself. A greatest ordering
+    of 0 means that commit times decide; else the ordering does, and commit times on a tie. A null ordering is the
+    least. One exchange and one sort serve rows and deletions; only slices with log files come here.
     """
-    rows = base if logs is None else base.unionByName(logs)
-    best = Window.partitionBy(SLICE, RECORD_KEY).orderBy(F.col(ordering).desc_nulls_last(), F.col(COMMIT_SEQNO).desc_nulls_last())
-    rows = rows.withColumn("__rank", F.row_number().over(best)).where("__rank = 1").drop("__rank")
-    if tombstones is None:
-        return rows
-    dead = tombstones.groupBy(F.col(SLICE).alias("__s"), F.col("key").alias("__k")).agg(F.max("ordering").alias("__o"), F.max("instant").alias("__t"))
-    outranked = F.when(F.col("__o") == 0, F.col("__t") > F.col(COMMIT_TIME)).otherwise(
-        F.coalesce(F.col("__o") > F.col(ordering), F.col("__o").isNotNull()) | (F.col("__o").eqNullSafe(F.col(ordering)) & (F.col("__t") > F.col(COMMIT_TIME)))
-    )
-    same = (F.col(SLICE) == F.col("__s")) & (F.col(RECORD_KEY) == F.col("__k"))
-    return rows.join(dead, same & outranked, "left_anti")
-
-
-def merge(strategy: str, base: DataFrame, logs: DataFrame | None, tombstones: DataFrame | None, ordering: str | None) -> DataFrame:
+    key = Window.partitionBy(SLICE, RECORD_KEY)
+    best = key.orderBy(F.col(DEAD), F.col(ordering).desc_nulls_last(), F.col(COMMIT_SEQNO).desc_nulls_last())
+    time = F.rpad(COMMIT_TIME, 17, "0")
+    o, t = F.col("__o"), F.col("__t")
+    rows = rows.select("*", F.row_number().over(best).alias("__rank"), F.max(F.when(F.col(DEAD), F.col(ordering))).over(key).alias("__o"), F.max(F.when(F.col(DEAD), time)).over(key).alias("__t"))
+    zero = o == 0 if isinstance(rows.schema[ordering].dataType, NumericType) else F.lit(False)
+    outranked = F.when(zero, t > time).otherwise(F.coalesce(o > F.col(ordering), o.isNotNull()) | (o.eqNullSafe(F.col(ordering)) & (t > time)))
+    return rows.where((F.col("__rank") == 1) & ~F.col(DEAD) & (t.isNull() | ~F.coalesce(outranked, F.lit(False)))).drop("__rank", "__o", "__t")
+
+
+def merge(strategy: str, rows: DataFrame, ordering: str | None) -> DataFrame:
     if strategy == APPEND_ONLY or ordering is None:
-        return append_only(base, logs)
-    return latest_wins(base, logs, tombstones, ordering)
+        return append_only(rows)
+    return latest_wins(rows, ordering)

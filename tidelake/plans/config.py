@@ -7,9 +7,10 @@ from typing import Any
 
 from ..errors import ConfigError, UnsupportedError
 from ..functions.timestamps import EARLIEST, normalise
+from ..operators.filters import as_filter
 
 # Fixed values of the format: folders, property keys and defaults.
-META_FOLDER, TIMELINE_FOLDER = ".hoodie", ".hoodie/timeline"
+META_FOLDER, TIMELINE_FOLDER = ".hoodie", ".hoodie/timeline"  # the latter unless configured otherwise
 NOT_PARTITIONS = {".hoodie", "_delta_log", "metadata"}
 PROPERTIES_FILE = "hoodie.properties"
 META_FIELDS = ("_hoodie_commit_time", "_hoodie_commit_seqno", "_hoodie_record_key", "_hoodie_partition_path", "_hoodie_file_name")
@@ -70,7 +71,8 @@ class TableConfig:
 
     @property
     def base_format(self) -> str:
-        return self.get("table.base.file.format", "parquet").lower()
+        """As configured; empty if files tell by their extensions."""
+        return self.get("table.base.file.format").lower()
 
     @property
     def partition_fields(self) -> list[str]:
@@ -116,7 +118,7 @@ class TableConfig:
             raise ConfigError(f"timeline layout {self.layout} in table version {self.version}")
         if self.flag("datasource.write.drop.partition.columns"):
             raise UnsupportedError("partition columns that aren't in the files")
-        if self.base_format != "parquet":
+        if self.base_format not in ("", "parquet"):
             raise UnsupportedError(f"base files of format {self.base_format}")
         if self.merge_strategy == LATEST_WINS and not (self.has_meta_fields and self.ordering_field):
             raise ConfigError(f"{LATEST_WINS} needs meta fields and an ordering field")
@@ -135,6 +137,9 @@ class ReadOptions:
     projection: tuple[str, ...] | None = None
     read_optimized: bool = False
     batch_size: int = 1024
+    #: File slices are read as at most so many partitions by the data source; 0: one partition a slice.
+    input_partitions: int = 0
+    #: Table options that hold for this read, by their full keys.
     extra: dict[str, str] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
@@ -146,17 +151,23 @@ class ReadOptions:
     def with_query_type(self, kind: str) -> ReadOptions:
         return replace(self, query_type=kind.lower())
 
+    @staticmethod
+    def _time(text: str) -> str:
+        """Checked here; read in the zone of the table's timeline when the table is."""
+        normalise(text)
+        return text
+
     def with_as_of(self, timestamp: str) -> ReadOptions:
-        return replace(self, as_of=normalise(timestamp))
+        return replace(self, as_of=self._time(timestamp))
 
     def with_start(self, timestamp: str) -> ReadOptions:
-        return replace(self, start=normalise(timestamp))
+        return replace(self, start=self._time(timestamp))
 
     def with_end(self, timestamp: str) -> ReadOptions:
-        return replace(self, end=normalise(timestamp))
+        return replace(self, end=self._time(timestamp))
 
     def with_filters(self, *filters: Any) -> ReadOptions:
-        return replace(self, filters=self.filters + filters)
+        return replace(self, filters=self.filters + tuple(map(as_filter, filters)))
 
     def with_projection(self, *columns: str) -> ReadOptions:
         return replace(self, projection=tuple(columns))
@@ -168,7 +179,7 @@ class ReadOptions:
         return replace(self, batch_size=n)
 
     def with_option(self, key: str, value: str) -> ReadOptions:
-        """By the key of the format, as ``hoodie.read.as.of.timestamp``."""
+        """By the key of the format, as ``hoodie.read.as.of.timestamp``; other keys of the format override the table's for this read."""
         known = {
             "query.type": self.with_query_type,
             "as.of.timestamp": self.with_as_of,
@@ -176,9 +187,19 @@ class ReadOptions:
             "end.timestamp": self.with_end,
             "use.read_optimized.mode": lambda v: self.with_read_optimized(_flag(v)),
             "stream.batch_size": lambda v: self.with_batch_size(int(v)),
+            "input.partitions": lambda v: replace(self, input_partitions=int(v)),
+            "file.slice.read.concurrency": lambda v: self,  # Spark has tasks for that
         }
-        act = known.get(key.removeprefix("hoodie.read."))
-        return act(value) if act else replace(self, extra={**self.extra, key: value})
+        if act := known.get(key.removeprefix("hoodie.read.")):
+            return act(value)
+        if not key.startswith("hoodie.") or key.startswith("hoodie.read."):
+            raise ConfigError(f"no read option {key!r}")
+        return replace(self, extra={**self.extra, key: value})
+
+    def resolved(self, zone: str) -> ReadOptions:
+        """With all times as instants of the timeline's zone."""
+        at = lambda t: normalise(t, zone) if t else t
+        return replace(self, as_of=at(self.as_of), start=at(self.start), end=at(self.end))
 
     @property
     def range(self) -> tuple[str, str | None]:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.filters import col
 from ..plans.config import ReadOptions
+from ..sources.datasource import create_table, register
 from ..table import Table
-from .fixtures import C1, C2, ORDERS, orders_cow, orders_mor
+from .fixtures import C0, C1, C2, ORDERS, orders_archived, orders_by_month, orders_by_price, orders_cow, orders_logs, orders_mor
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
@@ -184,7 +187,7 @@ def table_overwritten(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def table_before_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Table.open(spark, orders_cow(spark, sf_dir)).read(ReadOptions().with_as_of("2024-01-01T12:00:00Z").with_projection(*PLAIN))
+    return Table.open(spark, orders_cow(spark, sf_dir)).read(ReadOptions().with_as_of("2024-01-02T12:00:00Z").with_projection(*PLAIN))
 
 
 def table_sql_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,8 +201,81 @@ def table_file_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(s.partition, len(s.logs)) for s in slices], "partition string, n_logs long")
 
 
+def table_archived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both timeline layouts, the oldest instant archived: its files still count."""
+    one, two = (Table.open(spark, orders_archived(spark, sf_dir, v)).read(ReadOptions().with_projection(*PLAIN)).withColumn("layout", F.lit(n)) for n, v in ((1, "6"), (2, "8")))
+    return one.union(two)
+
+
+def table_archived_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archived and active instants of both layouts, and the rows of an incremental read that reaches into the archive."""
+    out = None
+    for n, v in ((1, "6"), (2, "8")):
+        t = Table.open(spark, orders_archived(spark, sf_dir, v), {"hoodie.internal.timeline.archived.enabled": "true"})
+        rows = t.read(ReadOptions().with_query_type("incremental").with_start(C0).with_end(C1)).groupBy().count().select(F.lit(n).alias("layout"), F.lit(",".join(i.time for i in t.timeline.commits())).alias("instants"), F.col("count").alias("n"))
+        out = rows if out is None else out.union(rows)
+    return out
+
+
+def table_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Avro and Parquet blocks, tombstones by ordering and by commit time, and a rollback."""
+    return Table.open(spark, orders_logs(spark, sf_dir)).read(ReadOptions().with_projection(*PLAIN))
+
+
+def table_tombstones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table_logs(spark, sf_dir).where("o_orderkey % 10 BETWEEN 3 AND 6")
+
+
+def table_rollback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What came after C2: the rolled-back block's rows aren't there."""
+    options = ReadOptions().with_query_type("incremental").with_start(C2)
+    return Table.open(spark, orders_logs(spark, sf_dir)).read(options.with_projection(*PLAIN))
+
+
+def table_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file slice alone, filtered and projected."""
+    t = Table.open(spark, orders_logs(spark, sf_dir))
+    return t.read_file_slice(t.file_slices()[0], ReadOptions().with_filters(col("o_totalprice").gt(400000)).with_projection("o_orderkey", "o_totalprice"))
+
+
+def table_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By SQL on a catalog table of the registered source; the predicate on the partition reaches planning."""
+    name = f"orders_{uuid.uuid4().hex}"
+    create_table(spark, name, orders_mor(spark, sf_dir))
+    return spark.sql(f"SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM {name} WHERE o_orderpriority = '2-HIGH' AND o_totalprice BETWEEN 1000 AND 300000")
+
+
+def table_source_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registered source over logs of every sort: it merges slice by slice."""
+    register(spark)
+    return spark.read.format("tidelake").load(orders_logs(spark, sf_dir)).select(*PLAIN)
+
+
+def table_file_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many base files are left after the footers, and the rows."""
+    t, options = Table.open(spark, orders_by_price(spark, sf_dir)), ReadOptions().with_filters(col("o_totalprice").lt(150000))
+    return t.read(options.with_projection("o_orderkey", "o_totalprice")).withColumn("n_files", F.lit(len(t.file_slices(options))).cast("long"))
+
+
+def table_keygen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partitions by a timestamp key generator, pruned by filters on its source column."""
+    t = Table.open(spark, orders_by_month(spark, sf_dir))
+    cut = spark.read.parquet(f"{sf_dir}/orders.parquet").agg(F.min("o_orderdate").cast("timestamp").alias("d")).select(F.unix_timestamp("d") + 40 * 86400).first()[0]
+    options = ReadOptions().with_filters(col("secs").lte(cut))
+    return t.read(options.with_projection("o_orderkey", "secs")).withColumn("n_partitions", F.lit(len({s.partition for s in t.file_slices(options)})).cast("long"))
+
+
+def table_meta_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts without any column, and by a column of the format's own."""
+    t = Table.open(spark, orders_mor(spark, sf_dir)).read()
+    return t.groupBy(F.col("_hoodie_commit_time").alias("instant")).agg(F.count(F.lit(1)).alias("n")).unionByName(t.groupBy().count().select(F.lit("all").alias("instant"), F.col("count").alias("n")))
+
+
 NOW = "SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderkey % 10 = 3 THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice, o_orderpriority FROM orders WHERE o_orderkey % 10 <> 7"
 ALL = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders"
+ARCHIVED = f"{ALL} UNION ALL {ALL} WHERE o_totalprice > 100000 AND o_orderpriority = (SELECT min(o_orderpriority) FROM orders)"
+LOGGED = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice * CASE o_orderkey % 10 WHEN 1 THEN 2 WHEN 9 THEN 10 ELSE 1 END AS o_totalprice, o_orderpriority FROM orders WHERE o_orderkey % 10 NOT IN (3, 4)"
+MONTHS = "WITH o AS (SELECT o_orderkey, epoch(o_orderdate)::BIGINT AS secs, strftime(o_orderdate, '%Y/%m') AS month FROM orders), m AS (SELECT DISTINCT month FROM o ORDER BY month LIMIT 8), c AS (SELECT min(secs) + 40 * 86400 AS cut FROM o)"
 TABLE_QUERIES = {
     table_snapshot: NOW,
     table_metadata_listing: f"{ALL} WHERE o_orderpriority = (SELECT min(o_orderpriority) FROM orders) UNION ALL SELECT * FROM ({NOW}) AS t WHERE o_orderpriority > (SELECT min(o_orderpriority) FROM orders)",
@@ -213,6 +289,17 @@ TABLE_QUERIES = {
     table_overwritten: f"{ALL} WHERE o_orderpriority > (SELECT min(o_orderpriority) FROM orders) OR o_totalprice > 100000",
     table_before_overwrite: ALL,
     table_sql_join: f"SELECT c_mktsegment, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM ({NOW}) AS t JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment",
+    table_archived: f"SELECT *, 1 AS layout FROM ({ARCHIVED}) AS a UNION ALL SELECT *, 2 FROM ({ARCHIVED}) AS b",
+    table_archived_timeline: f"SELECT layout, '{C1},{C2}' AS instants, (SELECT count(*) FROM orders) AS n FROM (VALUES (1), (2)) AS t(layout)",
+    table_logs: LOGGED,
+    table_tombstones: f"SELECT * FROM ({LOGGED}) AS t WHERE o_orderkey % 10 BETWEEN 3 AND 6",
+    table_rollback: f"SELECT * FROM ({LOGGED}) AS t WHERE o_orderkey % 10 = 9",
+    table_slice: f"SELECT o_orderkey, o_totalprice FROM ({LOGGED}) AS t WHERE o_totalprice > 400000",
+    table_source: f"SELECT * FROM ({NOW}) AS t WHERE o_orderpriority = '2-HIGH' AND o_totalprice BETWEEN 1000 AND 300000",
+    table_source_scan: LOGGED,
+    table_file_pruned: "SELECT o_orderkey, o_totalprice, (SELECT count(DISTINCT floor(o_totalprice / 100000)) FROM orders WHERE o_totalprice < 150000) AS n_files FROM orders WHERE o_totalprice < 150000",
+    table_keygen: f"{MONTHS} SELECT o_orderkey, secs, (SELECT count(DISTINCT month) FROM o WHERE month <= (SELECT strftime(make_timestamp(cut * 1000000), '%Y/%m') FROM c)) AS n_partitions FROM o, c WHERE secs <= cut AND month IN (SELECT month FROM m)",
+    table_meta_columns: f"SELECT CASE WHEN o_orderkey % 10 = 3 THEN '{C2}' ELSE '{C1}' END AS instant, count(*) AS n FROM ({NOW}) AS t GROUP BY 1 UNION ALL SELECT 'all', count(*) FROM ({NOW}) AS t",
     table_file_slices: "SELECT DISTINCT 'o_orderpriority=' || o_orderpriority AS partition, 1::BIGINT AS n_logs FROM orders",
 }
 
