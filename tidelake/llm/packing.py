@@ -2,8 +2,9 @@
 
 A configuration is a multiset of piece lengths that fits in one sequence. The program asks for the fewest
 configurations that cover the length histogram. It is solved by multiplicative weights: a length's weight falls as
-it is covered, and the configuration of greatest weight is found by a knapsack dynamic program. The fractional
-solution is rounded, and what is left goes by best fit, longest first, into the open room or new sequences.
+it is covered, and configurations of greatest weight are found by a knapsack dynamic program. The fractional solution
+is rounded down, with all configurations, filled or not; what is left is priced again in whole numbers, and pieces of
+poorly filled configurations go by best fit, longest first, into the open room or new sequences.
 
 The histogram has at most ``capacity`` bins, so the driver's work and memory don't grow with the documents. The plan
 goes back to the executors as a table of runs; each piece finds its place by its rank among the pieces of its length,
@@ -12,6 +13,7 @@ which comes from ranks within tasks and counts of tasks, so no length is gathere
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Callable
@@ -39,76 +41,154 @@ class Run:
     items: tuple[tuple[int, int], ...]
 
 
-def best_configuration(weights: np.ndarray, lengths: np.ndarray, most: np.ndarray, capacity: int) -> Counter:
-    """The configuration of greatest total weight (knapsack dynamic program, any number of each length).
+class Pricing:
+    """The knapsack dynamic program: configurations of greatest total weight, any number of each length.
 
-    ``lengths`` ascend. Counts beyond ``most`` of a length are cut afterwards.
+    One run gives the best configuration of each room up to ``capacity``, and so the best one with any given length in it.
     """
-    value, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    for room, k in enumerate(np.searchsorted(lengths, np.arange(capacity + 1), side="right").tolist()):
-        if k:
-            got = weights[:k] + value[room - lengths[:k]]
-            choice[room] = i = int(got.argmax())
-            value[room] = got[i]
-    out: Counter = Counter()
-    room = capacity
-    while room and (i := int(choice[room])) >= 0:
-        out[i] += 1
-        room -= int(lengths[i])
-    return Counter({i: min(n, int(most[i])) for i, n in out.items()})
 
-
-#: What share of a length's demand one round covers at most: each length is priced some ten times, as its weight falls.
-STEP = 0.1
-
-
-def solve_lp(lengths: np.ndarray, demand: np.ndarray, capacity: int, step: float = STEP, sharpness: float = 1.0) -> list[tuple[Counter, float]]:
-    """Configurations and how many of each, together covering every length's demand as a fraction of one or more.
-
-    ``step`` bounds how much of any length one round covers; a covered length leaves the program, so there are at
-    most len(lengths) / step rounds.
+    def __init__(self, weights: np.ndarray, lengths: np.ndarray, capacity: int) -> None:
+        """``lengths`` ascend."""
+        self.weights, self.lengths, self.capacity = weights, lengths, capacity
+        # A length that weighs no more than a shorter one is never needed.
+        own = np.flatnonzero(weights > np.maximum.accumulate(np.concatenate([[0.0], weights[:-1]])))
+        short, weight = lengths[own], weights[own]
+        self.value, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+        for room, k in enumerate(np.searchsorted(short, np.arange(capacity + 1), side="right").tolist()):
+            if k:
+                got = weight[:k] + self.value[room - short[:k]]
+                i = int(got.argmax())
+                choice[room], self.value[room] = own[i], got[i]
+        self.choice = choice.tolist()
+
+    @property
+    def best(self) -> float:
+        return float(self.value[self.capacity])
+
+    def seeds(self, tolerance: float) -> list[int]:
+        """The lengths (by number) whose best configuration weighs at least ``1 - tolerance`` times the best of all, heaviest first."""
+        with_it = self.weights + self.value[self.capacity - self.lengths]
+        order = np.argsort(-with_it, kind="stable")
+        return order[with_it[order] >= (1 - tolerance) * self.best].tolist()
+
+    def configuration(self, seed: int) -> Counter:
+        """The best configuration with this length in it."""
+        out, room = Counter([seed]), self.capacity - int(self.lengths[seed])
+        while room > 0 and (i := self.choice[room]) >= 0:
+            out[i] += 1
+            room -= int(self.lengths[i])
+        return out
+
+
+#: What share of a length's demand one round covers at most; how fast weights fall as lengths are covered; how much less
+#: than the best a configuration may weigh to be used; and the power of the length that weights begin with (more than 1:
+#: long pieces, which are the hardest to place, go first).
+STEP, SHARPNESS, TOLERANCE, POWER = 0.1, 10.0, 0.01, 1.2
+
+
+def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, whole: bool = False, step: float = STEP) -> tuple[dict[tuple[tuple[int, int], ...], float], float]:
+    """Configurations (length's number, how many) and how many of each, covering every demand; and a lower bound of the program.
+
+    Multiplicative weights: a length's weight falls exponentially in the share of its demand that is covered. The
+    knapsack program prices configurations; those near the best are used until one of their lengths is covered by
+    another ``step``, and a covered length leaves, so there are at most len(lengths) / step rounds. Weights divided by
+    the best configuration's are a feasible dual solution, so each round gives a lower bound. ``whole``: use only whole
+    numbers of configurations and cover no demand beyond itself, which makes the solution a packing.
     """
-    covered, found = np.zeros(len(lengths)), {}
-    while (left := np.flatnonzero(covered < 1 - 1e-9)).size:
-        weights = np.exp(-sharpness * covered[left]) * lengths[left] * (1 + 1e-3 * lengths[left] / capacity)
-        config = best_configuration(weights, lengths[left], np.maximum(1, demand[left]), capacity)
-        config = Counter({int(left[i]): n for i, n in config.items()})
-        at, n = np.array(list(config)), np.array(list(config.values()))
-        size = float(min((np.minimum(step, 1 - covered[at]) * demand[at] / n).min(), (demand[at] / n).min()))
-        size = max(size, 1e-9)
-        covered[at] += size * n / demand[at]
-        covered[at] = np.where(covered[at] > 1 - 1e-7, 1.0, covered[at])
-        key = tuple(sorted(config.items()))
-        found[key] = found.get(key, 0.0) + size
-    return [(Counter(dict(k)), x) for k, x in found.items()]
+    covered, found, bound = np.zeros(len(lengths)), {}, 0.0
+    first = (lengths / capacity) ** POWER
+    demand = demand.astype(np.float64)
+    if len(lengths):
+        bound = float((demand * lengths).sum()) / capacity  # the dual solution of weights as lengths
+    while (left := np.flatnonzero(covered < 1)).size:
+        share = covered[left]
+        weights = first[left] * np.exp(-SHARPNESS * (share - share.min()))
+        pricing = Pricing(weights, lengths[left], capacity)
+        bound = max(bound, float((demand[left] * weights).sum()) / pricing.best)
+        limit = np.minimum(1.0, covered + step)
+        for seed in pricing.seeds(TOLERANCE):
+            if covered[left[seed]] >= limit[left[seed]]:
+                continue
+            config = pricing.configuration(seed)
+            if whole:
+                rest = {int(left[i]): round(demand[left[i]] * (1 - covered[left[i]])) for i in config}
+                items = [(int(left[i]), min(n, rest[int(left[i])])) for i, n in config.items() if rest[int(left[i])]]
+                size = min(max(1, math.floor((limit[i] - covered[i]) * demand[i] / n)) for i, n in items)
+                size = min([size, *(rest[i] // n for i, n in items)])
+            else:
+                items = [(int(left[i]), min(n, int(demand[left[i]]))) for i, n in config.items()]
+                size = min((limit[i] - covered[i]) * demand[i] / n for i, n in items)
+            if size <= 1e-9:
+                continue
+            for i, n in items:
+                covered[i] += size * n / demand[i]
+                if covered[i] > 1 - 1e-7:
+                    covered[i] = 1.0
+            key = tuple(sorted(items))
+            found[key] = found.get(key, 0) + size
+    return found, bound
+
+
+#: Steps are halved while a solution is more than ``GAP`` above its bound, for about so many rounds of pricing in all.
+GAP, MOST_ROUNDS = 0.002, 2000
+
+
+def refined(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[dict[tuple[tuple[int, int], ...], float], float]:
+    """The best solution of several steps, and the best bound."""
+    best, bound, rounds, step = None, 0.0, 0, STEP
+    while best is None or (sum(best.values()) > (1 + GAP) * bound and 2 * rounds <= MOST_ROUNDS and step > 0.01):
+        found, least = solve(lengths, demand, capacity, step=step)
+        bound, rounds, step = max(bound, least), rounds + math.ceil(len(lengths) / step / 10), step / 2
+        if best is None or sum(found.values()) < sum(best.values()):
+            best = found
+    return best, bound
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Run]:
-    """Runs that hold each piece of ``histogram`` (length to count) exactly once; a sequence never exceeds ``capacity``."""
+    """Runs that hold each piece of ``histogram`` (length to count) exactly once; a sequence never exceeds ``capacity``.
+
+    The program's solution is rounded down. What is left is priced again in whole configurations; of these the poorly
+    filled ones are taken apart, and their pieces go by best fit into all open room. How poorly filled, is decided by
+    the fewest sequences; best fit of everything is tried too, as it may win where lengths are few and alike.
+    """
     histogram = {int(k): int(n) for k, n in histogram.items() if n > 0}
     if bad := [k for k in histogram if not 0 < k <= capacity]:
         raise ValueError(f"lengths beyond 1 to {capacity}: {bad[:3]}")
     left, shapes = Counter(histogram), Counter()
     if full := left.pop(capacity, 0):
         shapes[((capacity, 1),)] = full
+
+    def spelled(configs: dict[tuple[tuple[int, int], ...], float], lengths: np.ndarray) -> Counter:
+        return Counter({tuple(sorted(((int(lengths[i]), n) for i, n in c), reverse=True)): math.floor(x + 1e-9) for c, x in configs.items()})
+
     if left:
         lengths = np.array(sorted(left))
-        for config, x in sorted(solve_lp(lengths, np.array([left[int(k)] for k in lengths]), capacity), key=lambda p: -p[1]):
-            items = {int(lengths[i]): n for i, n in config.items()}
-            if sum(k * n for k, n in items.items()) < capacity:
-                continue  # a configuration with room to spare: best fit does at least as well by its pieces
-            room = min(left[k] // n for k, n in items.items())
-            if count := min(round(x), room):
-                shapes[tuple(sorted(items.items(), reverse=True))] += count
-                for k, n in items.items():
+        configs = refined(lengths, np.array([left[int(k)] for k in lengths]), capacity)[0]
+        for shape, x in sorted(spelled(configs, lengths).items(), key=lambda p: (-p[1], p[0])):
+            if count := min([x, *(left[k] // n for k, n in shape)]):  # rounding may cover a length a little beyond its demand
+                shapes[shape] += count
+                for k, n in shape:
                     left[k] -= n * count
-    for shape, count in best_fit(+left, Counter({s: n for s, n in shapes.items() if sum(k * m for k, m in s) < capacity}), capacity).items():
-        shapes[shape] += count
+        left = +left
+        lengths = np.array(sorted(left), dtype=np.int64)
+        again = +spelled(solve(lengths, np.array([left[int(k)] for k in lengths]), capacity, whole=True)[0], lengths)
+        fill = lambda shape: sum(k * n for k, n in shape) / capacity
+        tries = [+best_fit(Counter(histogram), Counter(), capacity)]
+        for least in (0.0, 0.9, 0.97, 0.99, 1.1):
+            kept, loose = Counter(shapes), Counter()
+            for shape, count in again.items():
+                if fill(shape) >= least:
+                    kept[shape] += count
+                else:
+                    loose.update({k: n * count for k, n in shape})
+            for shape, count in best_fit(loose, Counter({s: n for s, n in kept.items() if fill(s) < 1}), capacity).items():
+                kept[shape] += count
+            tries.append(+kept)
+        shapes = min(tries, key=Counter.total)
     runs, first = [], 0
     for shape, count in sorted(shapes.items(), reverse=True):
-        if count > 0:
-            runs.append(Run(first, count, shape))
-            first += count
+        runs.append(Run(first, count, shape))
+        first += count
     return runs
 
 
