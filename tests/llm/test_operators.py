@@ -250,7 +250,7 @@ def test_lm_scores(spark, docs, empty, order):
             return max(seen[gram], 0.5) / total
         return seen[gram] / seen[gram[:-1]] if seen[gram] else 0.4 * value(gram[1:])
 
-    got = by_id(lmscore.score(docs, corpus, order=order, block_bytes=500))
+    got = by_id(lmscore.score(docs, corpus, order=order, passes=2))
     for i, t in TEXTS.items():
         w = cut(t)
         assert got[i].n_words == len(w)
@@ -258,6 +258,23 @@ def test_lm_scores(spark, docs, empty, order):
     assert lmscore.score(empty).count() == 0
 
 
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_lm_scores_of_the_corpus_itself(spark, docs, order, monkeypatch):
+    monkeypatch.setattr(lmscore, "LEAST_HOT", 2)  # most n-grams are salted
+    monkeypatch.setattr(lmscore, "SLICE_WORDS", 50)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    cut = lambda t: (t or "").encode().lower().split()
+    seen = collections.Counter(tuple(w[k : k + n]) for _, t in rows for w in [cut(t)] for n in range(1, order + 1) for k in range(len(w) - n + 1))
+    total = sum(n for g, n in seen.items() if len(g) == 1)
+    value = lambda g: math.log(seen[g] / (seen[g[:-1]] if len(g) > 1 else total))
+    want = {i: (len(w), sum(value(tuple(w[max(0, k - order + 1) : k + 1])) for k in range(len(w)))) for i, t in rows for w in [cut(t)]}
+    got = lmscore.score(docs, order=order, passes=3).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.n_words == want[r.doc_id][0] and r.logprob == pytest.approx(want[r.doc_id][1], abs=1e-6)
+        assert r.score == (None if not r.n_words else pytest.approx(r.logprob / r.n_words))
+
+
 def test_lm_query_looks_at_more_than_one_word_before(spark, tmp_path):
     spark.createDataFrame([(1, "a b c"), (2, "x b d")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = by_id(queries.op7_lm_scoring(spark, str(tmp_path)))

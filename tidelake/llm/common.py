@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import json
 import re
@@ -15,26 +16,51 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.storage import Storage, shared_folder
+
 U64 = np.uint64
-LOCAL_SCRATCH = "/tmp/checkpoints/tidelake"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none, as in tests, a local one is set.
+    Only a local master, as in tests, may do without that setting and gets a local one.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH
+    root = shared_folder(spark)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/tidelake-{name}-{uuid.uuid4().hex}"
+    return f"{root}/tidelake-{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again: lineage ends there, and lost executors lose nothing."""
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what materialise() wrote, once nothing lazy reads it any more."""
+    for df in tables:
+        folder, _, name = df._scratch.rpartition("/")
+        Storage(df.sparkSession, folder).delete(name)
+
+
+@contextlib.contextmanager
+def no_shuffle_files_left(spark: SparkSession) -> Iterator[None]:
+    """Within it, each query's shuffle files go as soon as it ends, and not only when the driver collects garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

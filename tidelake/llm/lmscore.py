@@ -1,186 +1,234 @@
 """Stupid-backoff language-model scores, computed relationally.
 
-Documents are cut into blocks. Each block sends its distinct n-grams, by hash partition, with their counts; a partition
-sums them over all blocks (the count table) and answers each block's n-grams with their totals; a block joins the
-answers to its documents' n-grams and sums them by document. An n-gram, however common, is one entry for each block, so
-no partition is hot; both tables are partitioned by hash and their number of partitions grows with the text.
+n-grams are exploded into rows and counted into tables partitioned by hash; the documents' n-grams are exploded too,
+joined to the count tables, and the logarithms are summed per document. Within a document the rows of one n-gram are
+one row with a weight: how often it stands for a word and its words before, less how often it is such words before.
+
+All n-grams of all documents at once would fill the disks, so the hash space is worked off in ``PASSES`` parts: each
+part's tables are counted, joined, summed per document and dropped before the next. The n-grams that stand in most
+documents, at most ``MOST_HOT`` of a part, are dealt by (n-gram, salt), so that no task gets all rows of one.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, map_rows, materialise, mix64, utf8
+from .common import U64, WordHashes, discard, map_rows, materialise, mix64, no_shuffle_files_left, utf8
 
-ORDER, ALPHA = 3, 0.4
-BLOCK_BYTES, PARTITION_BYTES = 4 << 20, 8 << 20
-BLOCKS = "block long, doc_ids array<long>, texts array<binary>, counted array<boolean>, scored array<boolean>, n_words long"
+ORDER, ALPHA, PASSES = 3, 0.4, 8
+#: n-grams that are salted: the most frequent ones of a part, each in at least ``LEAST_HOT`` places.
+MOST_HOT, LEAST_HOT, SALTS = 20_000, 1_000, 64
+#: Words that are exploded at once.
+SLICE_WORDS = 1 << 19
 _rng = np.random.default_rng(7)
 WEIGHTS = _rng.integers(0, 1 << 63, 16, dtype=np.uint64) * U64(2) + U64(1)
 
 
-def gram_keys(words: list[bytes], order: int, hashes: WordHashes) -> list[np.ndarray]:
-    """For each n up to ``order``, the 64-bit keys of the n-grams that end at words n-1, n, ..."""
-    h = hashes.array(words)
-    out, key = [], np.zeros(len(h), np.uint64)
+def gram_keys(words: np.ndarray, order: int) -> list[np.ndarray]:
+    """For each n up to ``order``, the 64-bit keys of the n-grams (of word hashes) that begin at words 0, 1, ..."""
+    out, key = [], np.zeros(len(words), np.uint64)
     for n in range(1, order + 1):
-        if n > len(h):
-            out.append(np.empty(0, np.uint64))
-            continue
-        key = mix64((key[:-1] if n > 1 else key) * WEIGHTS[0] + h[n - 1 :] + WEIGHTS[n])
+        m = max(0, len(words) - n + 1)
+        key = mix64(key[:m] * WEIGHTS[0] + words[n - 1 : n - 1 + m] + WEIGHTS[n])
         out.append(key)
     return out
 
 
-def pack_keys(keys: np.ndarray) -> bytes:
-    """Ascending keys as differences, byte plane by byte plane: planes of zeros vanish under the shuffle's compression."""
-    return np.ascontiguousarray(np.diff(keys, prepend=U64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+def hashed(docs: DataFrame) -> DataFrame:
+    """doc_id, key (of doc_id and text), n_words and the words' hashes in a row, of each row of ``docs``."""
 
+    def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        hashes = WordHashes()
 
-def unpack_keys(data: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
+        def f(batch: pa.RecordBatch) -> pa.RecordBatch:
+            words = [hashes.array(t.lower().split()) for t in batch.column(2).to_pylist()]
+            return pa.record_batch([batch.column(0), batch.column(1), pa.array(map(len, words), pa.int64()), pa.array([w.tobytes() for w in words], pa.binary())], names=["doc_id", "key", "n_words", "words"])
 
+        return f
 
-def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, rows, size = TaskContext.get().partitionId() << 32, [], 0
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", utf8()).alias("key"), utf8().alias("text"))
+    return map_rows(rows, make, "doc_id long, key long, n_words long, words binary")
 
-        def flush() -> pa.RecordBatch:
-            ids, texts, counted, scored = (list(c) for c in zip(*rows, strict=True))
-            n = sum(len(t.split()) for t, c in zip(texts, counted, strict=True) if c)
-            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.bool_()), pa.list_(pa.bool_()), pa.int64())
-            return pa.record_batch([pa.array([v], k) for v, k in zip((number, ids, texts, counted, scored, n), kinds, strict=True)], names=[c.split()[0] for c in BLOCKS.split(", ")])
 
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows.append(row)
-                size += len(row[1])
-                if size >= block_bytes:
-                    yield flush()
-                    number, size = number + 1, 0
-                    rows.clear()
-        if rows:
-            yield flush()
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Some documents at a time: their keys, their words in a row, and each one's number of words; documents without words are left out."""
+    keys: list[int] = []
+    held: list[np.ndarray] = []
+    n = 0
+    for batch in batches:
+        for key, data in zip(batch.column("key").to_pylist(), batch.column("words").to_pylist(), strict=True):
+            if data:
+                keys.append(key)
+                held.append(np.frombuffer(data, np.uint64))
+                n += len(held[-1])
+                if n > SLICE_WORDS:
+                    yield np.array(keys), np.concatenate(held), np.array(list(map(len, held)))
+                    keys, held, n = [], [], 0
+    if held:
+        yield np.array(keys), np.concatenate(held), np.array(list(map(len, held)))
 
-    return docs.mapInArrow(run, BLOCKS)
 
+def _within(sizes: np.ndarray, n: int) -> np.ndarray:
+    """Of all places where n words in a row begin, those where they are of one document."""
+    ends = np.repeat(np.cumsum(sizes), sizes)
+    at = np.arange(len(ends))
+    return np.flatnonzero(at + n <= ends)
 
-def _block_keys(texts: list[bytes], order: int, hashes: WordHashes) -> list[list[np.ndarray]]:
-    return [gram_keys(t.lower().split(), order, hashes) for t in texts]
 
+def counted(words: DataFrame, order: int, part: int, parts: int) -> DataFrame:
+    """The count table (gram, n) of one part of the hash space: all n-grams up to ``order``, exploded and summed."""
 
-def score(docs: DataFrame, corpus: DataFrame | None = None, order: int = ORDER, alpha: float = ALPHA, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, logprob (sum of natural logarithms over the words) and score (their mean) of each row of ``docs``.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, row, sizes in slices(batches):
+            every = [k[_within(sizes, n)] for n, k in enumerate(gram_keys(row, order), 1)]
+            grams = np.concatenate(every)
+            grams, n = np.unique(grams[grams % U64(parts) == part], return_counts=True)
+            if len(grams):
+                yield pa.record_batch([pa.array(grams.view(np.int64)), pa.array(n)], names=["gram", "n"])
 
-    Counts are of all whole texts of ``corpus`` (doc_id, text), or of ``docs`` itself. Words part at ASCII white space, A-Z lowered. A
-    word after its ``order - 1`` words before scores count(all) / count(before) if that is seen, else ``alpha`` times its
-    score after one word less; alone, count / all words, where an unseen word counts as half of one. The first words of a
-    text have fewer words before them. A null or empty text has no words: logprob 0, score null. Rows that repeat are
-    counted and scored each. Other columns don't matter; an empty table gives an empty result.
-    """
-    pick = lambda df, counted, scored: df.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text"), F.lit(counted).alias("counted"), F.lit(scored).alias("scored"))
-    rows = pick(docs, True, True) if corpus is None else pick(docs, False, True).union(pick(corpus, True, False))
-    blocks = materialise(_blocks(rows, block_bytes), "blocks")
-    totals = blocks.agg(F.sum("n_words").alias("n"), F.sum(F.aggregate("texts", F.lit(0).cast("long"), lambda a, t: a + F.octet_length(t))).alias("bytes")).first()
-    total, parts = totals["n"] or 0, max(8, -(-(totals["bytes"] or 0) // PARTITION_BYTES))
-    width = U64(-(-(1 << 64) // parts))
-
-    def cut(keys: np.ndarray) -> np.ndarray:
-        """Where each hash partition begins in ascending keys."""
-        return np.searchsorted(keys, np.arange(parts, dtype=np.uint64) * width).tolist() + [len(keys)]
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            for b in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
-                per_doc = _block_keys(b["texts"], order, hashes)
-                every = np.concatenate([k for d in per_doc for k in d] or [np.empty(0, np.uint64)])
-                weight = np.repeat(np.array(b["counted"], np.int64), [sum(map(len, d)) for d in per_doc])
-                keys, of = np.unique(every, return_inverse=True)
-                n = np.bincount(of, weights=weight, minlength=len(keys)).astype("<u4")
-                at = cut(keys)
-                some = [p for p in range(parts) if at[p + 1] > at[p]]
-                if some:
-                    yield pa.record_batch(
-                        [pa.array(some, pa.int32()), pa.array([b["block"]] * len(some), pa.int64()), pa.array([pack_keys(keys[at[p] : at[p + 1]]) for p in some], pa.binary()), pa.array([n[at[p] : at[p + 1]].tobytes() for p in some], pa.binary())],
-                        names=["part", "block", "keys", "counts"],
-                    )
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, bytes, bytes]] = []
-        part = None
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            keys = [unpack_keys(k) for _, k, _ in held]
-            _, of = np.unique(np.concatenate(keys), return_inverse=True)
-            sums = np.bincount(of, weights=np.concatenate([np.frombuffer(c, "<u4") for _, _, c in held]).astype(np.float64)).astype("<u8")[of]
-            ends = np.cumsum([len(k) for k in keys])
-            for (block, _, _), lo, hi in zip(held, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                planes = np.ascontiguousarray(sums[lo:hi].view(np.uint8).reshape(-1, 8).T).tobytes()
-                yield pa.record_batch([pa.array([block], pa.int64()), pa.array([part], pa.int32()), pa.array([planes], pa.binary())], names=["block", "part", "sums"])
-
-        for batch in batches:
-            for p, block, keys, counts in zip(*(batch.column(c).to_pylist() for c in ("part", "block", "keys", "counts")), strict=True):
-                if held and p != part:
-                    yield from flush()
-                    held.clear()
-                part = p
-                held.append((block, keys, counts))
-        if held:
-            yield from flush()
-
-    sent = blocks.select("block", "texts", "counted").mapInArrow(send, "part int, block long, keys binary, counts binary")
-    sums = sent.repartition("part").sortWithinPartitions("part").mapInArrow(answer, "block long, part int, sums binary")
-    answers = sums.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("part", "sums"))).alias("answers"))
+    return words.select("key", "words").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
-    def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        hashes = WordHashes()
 
-        def of_block(b: dict) -> list[tuple]:
-            per_doc = _block_keys(b["texts"], order, hashes)
-            every = [k for d in per_doc for k in d]
-            _, of = np.unique(np.concatenate(every or [np.empty(0, np.uint64)]), return_inverse=True)
-            sums = [np.ascontiguousarray(np.frombuffer(a["sums"], np.uint8).reshape(8, -1).T).view("<u8").ravel() for a in b["answers"] or []]
-            count = np.concatenate(sums)[of].astype(np.float64) if sums else np.empty(0)
-            out, at = [], 0
-            for doc, keys, scored in zip(b["doc_ids"], per_doc, b["scored"], strict=True):
-                by_n = []
-                for k in keys:
-                    by_n.append(count[at : at + len(k)])
-                    at += len(k)
-                if scored:
-                    out.append((doc, len(keys[0]), backoff(by_n, total, alpha)))
-            return out
-
-        def f(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            got = [r for i in range(batch.num_rows) for r in of_block(batch.slice(i, 1).to_pylist()[0])]
-            mean = [s / n if n else None for _, n, s in got]
-            ids, n, s = zip(*got, strict=True) if got else ((), (), ())
-            return pa.record_batch([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(s, pa.float64()), pa.array(mean, pa.float64())], names=["doc_id", "n_words", "logprob", "score"])
+def asked(words: DataFrame, order: int, part: int, parts: int, hot: np.ndarray) -> DataFrame:
+    """(key, gram, weight, salt): by document, the weights with which logarithms of counts make its score, where all its n-grams are counted.
 
-        return f
+    The word at place i scores log c(the ``order`` words up to i) - log c(the order - 1 before i). The first words have
+    fewer before them, and their terms cancel but for the first order - 1 words in a row (or all, if there are fewer).
+    """
 
-    both = blocks.select("block", "doc_ids", "texts", "scored").join(answers, "block", "left")
-    return map_rows(both.drop("block"), make, "doc_id long, n_words long, logprob double, score double")
-
-
-def backoff(counts: list[np.ndarray], total: int, alpha: float) -> float:
-    """The log score of one text: ``counts[n - 1]`` has its n-grams' totals, the first of which ends at word n - 1."""
-    size = len(counts[0])
-    if not size:
-        return 0.0
-    logs = np.log(np.maximum(counts[0], 0.5) / max(total, 1))
-    for n in range(2, len(counts) + 1):
-        here = counts[n - 1]
-        if len(here):
-            before = counts[n - 2][: len(here)]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                seen = np.log(here) - np.log(before)
-            logs[n - 1 :] = np.where(here > 0, seen, np.log(alpha) + logs[n - 1 :])
-    return float(logs.sum())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, row, sizes in slices(batches):
+            of, first = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
+            by_n = gram_keys(row, order)
+            at = _within(sizes, order)
+            docs, grams, weight = [of[at]], [by_n[order - 1][at]], [np.ones(len(at), np.int64)]
+            if order > 1:
+                docs.append(of[at])
+                grams.append(by_n[order - 2][at])
+                weight.append(-np.ones(len(at), np.int64))
+                for n in range(1, order):  # where the first words of a text end
+                    begin = first[sizes >= n] if n == order - 1 else first[sizes == n]
+                    docs.append(of[begin])
+                    grams.append(by_n[n - 1][begin])
+                    weight.append(np.ones(len(begin), np.int64))
+            docs, grams, weight = map(np.concatenate, (docs, grams, weight))
+            own = grams % U64(parts) == part
+            docs, grams, weight = docs[own], grams[own], weight[own]
+            order_of = np.lexsort((grams, docs))
+            docs, grams, weight = docs[order_of], grams[order_of], weight[order_of]
+            if len(docs):
+                new = np.flatnonzero(np.concatenate([[True], (docs[1:] != docs[:-1]) | (grams[1:] != grams[:-1])]))
+                weight = np.add.reduceat(weight, new)
+                docs, grams = docs[new][weight != 0], grams[new][weight != 0].view(np.int64)
+                key = keys[docs]
+                salt = np.where(np.isin(grams, hot), key % SALTS, 0).astype(np.int32)
+                yield pa.record_batch([pa.array(key), pa.array(grams), pa.array(weight[weight != 0]), pa.array(salt)], names=["key", "gram", "weight", "salt"])
+
+    return words.select("key", "words").mapInArrow(run, "key long, gram long, weight long, salt int")
+
+
+def _hot(counts: DataFrame) -> np.ndarray:
+    return np.array([r["gram"] for r in counts.where(F.col("n") >= LEAST_HOT).orderBy(F.desc("n")).limit(MOST_HOT).collect()], np.int64)
+
+
+def _salted(counts: DataFrame, hot: np.ndarray) -> DataFrame:
+    """The count table with a row for each salt of a hot n-gram, else for salt 0."""
+    keys = counts.sparkSession.createDataFrame([(int(g),) for g in hot], "gram long")
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return counts.join(F.broadcast(keys.withColumn("hot", F.lit(True))), "gram", "left").select("gram", "n", F.explode(salts).alias("salt"))
+
+
+def own_sums(words: DataFrame, order: int, passes: int) -> DataFrame:
+    """(key, s): per document the weighted logarithms of its n-grams' counts, where the documents are the corpus."""
+    out = []
+    for part in range(passes):
+        with no_shuffle_files_left(words.sparkSession):
+            counts = materialise(counted(words, order, part, passes), "counts")
+            hot = _hot(counts)
+            rows = asked(words, order, part, passes, hot).join(_salted(counts, hot), ["gram", "salt"])
+            out.append(materialise(rows.groupBy("key").agg(F.sum(F.col("weight") * F.log("n")).alias("s")), "sums"))
+            discard(counts)
+    every = out[0]
+    for more in out[1:]:
+        every = every.union(more)
+    return every
+
+
+def backed_off_sums(words: DataFrame, corpus: DataFrame, order: int, total: int, alpha: float, passes: int) -> DataFrame:
+    """(key, s): per document the scores of its words by another corpus, each by the longest n-gram that the corpus has."""
+    spark, out = words.sparkSession, []
+
+    def chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each word's n-grams that end at it, longest first; the context of one begins where it does."""
+        for keys, row, sizes in slices(batches):
+            of, first = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
+            by_n = gram_keys(row, order)
+            for i in range(0, len(row), 1 << 16):
+                grams, contexts = [], []
+                for p in range(i, min(len(row), i + (1 << 16))):
+                    most = min(order, p - int(first[of[p]]) + 1)
+                    grams.append([int(by_n[n - 1][p - n + 1].view(np.int64)) for n in range(most, 0, -1)])
+                    contexts.append([int(by_n[n - 2][p - n + 1].view(np.int64)) for n in range(most, 1, -1)])
+                key = keys[of[i : i + (1 << 16)]]
+                yield pa.record_batch([pa.array(key), pa.array(grams, pa.list_(pa.int64())), pa.array(contexts, pa.list_(pa.int64()))], names=["key", "grams", "contexts"])
+
+    todo = materialise(words.select("key", "words").mapInArrow(chains, "key long, grams array<long>, contexts array<long>"), "chains")
+    tables = [materialise(counted(corpus, order, part, passes), "counts") for part in range(passes)]
+    counts = tables[0]
+    for more in tables[1:]:
+        counts = counts.union(more)
+    hot = _hot(counts)
+    counts = _salted(counts, hot)
+    keys = F.broadcast(spark.createDataFrame([(int(g),) for g in hot], "gram long").withColumn("hot", F.lit(True)))
+
+    def looked_up(rows: DataFrame, name: str) -> DataFrame:
+        salt = F.when(F.col("hot"), F.pmod("key", F.lit(SALTS)).cast("int")).otherwise(0)
+        rows = rows.withColumn("gram", F.col(name)).join(keys, "gram", "left").withColumn("salt", salt).drop("hot")
+        return rows.join(counts.withColumnRenamed("n", f"n_{name}"), ["gram", "salt"], "left").drop("gram", "salt")
+
+    for _ in range(order):  # the longest n-gram left of each chain
+        rows = looked_up(todo.select("key", "grams", "contexts", F.get("grams", F.lit(0)).alias("g"), F.get("contexts", F.lit(0)).alias("c")), "g")
+        seen = looked_up(rows.where("n_g IS NOT NULL").select("key", "c", "n_g"), "c")
+        value = F.log("n_g") - F.when(F.col("c").isNull(), F.lit(math.log(max(total, 1)))).otherwise(F.log("n_c"))
+        out.append(materialise(seen.groupBy("key").agg(F.sum(value).alias("s")), "sums"))
+        unseen = rows.where("n_g IS NULL")
+        last = F.when(F.size("grams") == 1, math.log(0.5 / max(total, 1))).otherwise(math.log(alpha))
+        out.append(materialise(unseen.groupBy("key").agg(F.sum(last).alias("s")), "sums"))
+        rest = materialise(unseen.where(F.size("grams") > 1).select("key", F.slice("grams", 2, order).alias("grams"), F.slice("contexts", 2, order).alias("contexts")), "chains")
+        discard(todo)
+        todo = rest
+    discard(todo, *tables)
+    every = out[0]
+    for more in out[1:]:
+        every = every.union(more)
+    return every
+
+
+def score(docs: DataFrame, corpus: DataFrame | None = None, order: int = ORDER, alpha: float = ALPHA, passes: int = PASSES) -> DataFrame:
+    """doc_id, n_words, logprob (sum of natural logarithms over the words) and score (their mean) of each row of ``docs``.
+
+    Counts are of all whole texts of ``corpus`` (doc_id, text), or of ``docs`` itself; then every n-gram has been seen,
+    and no word backs off. Words part at ASCII white space, A-Z lowered. A word after its ``order - 1`` words before
+    scores count(all) / count(before) if that is seen, else ``alpha`` times its score after one word less; alone,
+    count / all words, where an unseen word counts as half of one. The first words of a text have fewer words before
+    them. A null or empty text has no words: logprob 0, score null. Rows that repeat are counted and scored each. A very
+    long text is hashed as a whole by one task, some megabytes for a million words. n-grams and rows (doc_id and text)
+    are known by 64-bit hashes. Other columns don't matter; an empty table gives an empty result.
+    """
+    words = materialise(hashed(docs), "words")
+    known = words if corpus is None else materialise(hashed(corpus), "words")
+    total = known.agg(F.sum("n_words").alias("n")).first()["n"] or 0
+    sums = own_sums(words, order, passes) if corpus is None else backed_off_sums(words, known, order, total, alpha, passes)
+    # Rows that repeat share a key: each of them has its part of the sum.
+    copies = words.groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
+    by_key = sums.groupBy("key").agg(F.sum("s").alias("s")).join(copies, "key").select("key", (F.col("s") / F.col("copies")).alias("s"))
+    out = words.select("doc_id", "key", "n_words").join(by_key, "key", "left")
+    each = F.col("n_words") if order == 1 else F.lit(1)
+    s = F.coalesce("s", F.lit(0.0)) - (F.lit(0.0) if corpus is not None else F.when(F.col("n_words") > 0, each * math.log(max(total, 1))).otherwise(0.0))
+    return out.select("doc_id", "n_words", s.alias("logprob"), F.when(F.col("n_words") > 0, s / F.col("n_words")).alias("score"))
