@@ -183,25 +183,50 @@ class Scanner:
                 spots.append(at)
                 base_labels.add(label)
                 at = text.find(phrase, at + 1)
-        starts = [text.count(b" ", 0, at + 1) - 1 for at in spots]
-        found = []  # (start, end, label, weight), by priority
+        spaces = np.flatnonzero(np.frombuffer(text, np.uint8) == 32) if spots else np.empty(0, np.int64)
+        starts = np.searchsorted(spaces, spots)  # a word's number is that of the space before it
+        found = Detections()
         for n in sorted({n for k, rules in self.by_keyword.items() if k in text for n in rules}):
             label, regex, weight = self.rules[n]
-            for m in regex.finditer(text):
-                start, end = m.span("id" if "id" in regex.groupindex else 0)
-                if not any(a <= start and end <= b for a, b, _, _ in found):
-                    found.append((start, end, label, weight))
-        labels = base_labels | {f[2] for f in found}
-        score = max([f[3] for f in found] + [1.0] * bool(spots), default=0.0)
-        return len(words), len(spots), min(starts, default=None), max(starts, default=None), ",".join(sorted(base_labels)), ",".join(sorted(labels)), score
+            group = "id" if "id" in regex.groupindex else 0
+            found.add([m.span(group) for m in regex.finditer(text)], label, weight)
+        labels = base_labels | set(found.labels)
+        score = max([*found.labels.values(), 1.0 * bool(spots)])
+        least, most = (int(starts.min()), int(starts.max())) if spots else (None, None)
+        return len(words), len(spots), least, most, ",".join(sorted(base_labels)), ",".join(sorted(labels)), score
+
+
+class Detections:
+    """The detections that stand, each rule's in turn: one that lies within another of a rule before is suppressed.
+
+    Spans are kept by start with the greatest end so far, so a rule's matches cost a search each and one merge.
+    """
+
+    def __init__(self) -> None:
+        self.starts, self.ends = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.reach = self.ends  # the greatest end of the spans up to each
+        self.labels: dict[str, float] = {}  # label: greatest weight
+
+    def add(self, spans: list[tuple[int, int]], label: str, weight: float) -> None:
+        if not spans:
+            return
+        start, end = np.array(spans, np.int64).T
+        before = np.searchsorted(self.starts, start, side="right") - 1
+        stands = (before < 0) | (self.reach[before] < end) if len(self.reach) else np.ones(len(start), bool)
+        if stands.any():
+            self.labels[label] = max(weight, self.labels.get(label, 0.0))
+            starts, ends = np.concatenate([self.starts, start[stands]]), np.concatenate([self.ends, end[stands]])
+            order = np.argsort(starts, kind="stable")
+            self.starts, self.ends = starts[order], ends[order]
+            self.reach = np.maximum.accumulate(self.ends)
 
 
 def scan(docs: DataFrame, rules: tuple[Signature, ...] | None = None) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): the words, the base phrases' places and labels, all labels and a score.
 
     The score is the greatest weight among the detections that stand (a base phrase weighs 1), 0 without any. A null
-    text has no words; without a base phrase first_word and last_word are null and base_labels is empty. Rows that
-    repeat are scanned each for itself; no row is moved to another task. Other columns don't matter; an empty table
+    text has no words; without a base phrase first_word and last_word are null and base_labels is empty. A text is
+    scanned whole, whatever its length, in time linear in its words and detections for each rule. Rows that repeat are scanned each for itself; no row is moved to another task. Other columns don't matter; an empty table
     gives an empty result.
     """
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64())
