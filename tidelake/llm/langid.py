@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from .common import map_rows
 
 DIMS = 1 << 12
-#: The sample that centroids are fitted on: about so many rows of each language, chosen by a hash of doc_id.
+#: The sample that centroids are fitted on: about so many rows of each language, chosen by a hash of doc_id and text;
+#: rows that repeat both count once.
 SAMPLE_PER_LANGUAGE = 600
 CENTROIDS, ROUNDS, RESTARTS = 4, 12, 5
 #: Steps of length (trigrams at most), and the share of the cosine that all but one in a thousand sample rows of its step
@@ -119,7 +120,7 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, centroids: int
     rows = docs.where(~held_out() & F.col("lang").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     of_each = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = {lang: min(1 << 30, -(-per_language * (1 << 30) // n)) for lang, n in of_each.items()}
-    place = F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(1 << 30))
+    place = F.pmod(F.xxhash64(F.lit(9), "doc_id", "text"), F.lit(1 << 30))
     chosen = F.lit(False)
     for lang, most in sorted(share.items()):
         chosen = chosen | ((F.col("lang") == lang) & (place < most))
@@ -141,16 +142,16 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, centroids: int
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            got = [(lang, np.minimum(c, 65_535).astype("<u2").tobytes()) for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if (c := trigram_counts(text or "")) is not None]
-            return pa.record_batch([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.binary())], names=["lang", "counts"])
+            got = [(doc, lang, c.astype("<u4").tobytes()) for doc, text, lang in zip(*(c.to_pylist() for c in batch.columns), strict=True) if (c := trigram_counts(text or "")) is not None]
+            return pa.record_batch([pa.array([g[i] for g in got], t) for i, t in enumerate((pa.string(), pa.string(), pa.binary()))], names=["id", "lang", "counts"])
 
         return f
 
-    sample = sorted((r["lang"], bytes(r["counts"])) for r in map_rows(rows.where(chosen).select("text", "lang"), make, "lang string, counts binary").collect())
+    sample = sorted((r["lang"], bytes(r["counts"])) for r in map_rows(rows.where(chosen).select(F.col("doc_id").cast("string"), "text", "lang"), make, "id string, lang string, counts binary").distinct().collect())
     if not sample:
         return Model(idf, np.zeros((0, DIMS), np.float32), ())
     langs = [lang for lang, _ in sample]
-    counts = np.array([np.frombuffer(c, "<u2") for _, c in sample])
+    counts = np.array([np.frombuffer(c, "<u4") for _, c in sample])
     bare = Model(idf, np.zeros((0, DIMS), np.float32), ())
     vectors = bare.vectors(counts)
     centres, labels = [], []
@@ -170,7 +171,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score and rejected of each row of ``docs`` (doc_id, text), from the text alone.
 
     A null text or one without a letter is ``und`` with score 0, and rejected; so is any if the model has learned no
-    language. Rows that repeat are predicted each for itself. Other columns don't matter; an empty table gives an
+    language. Of centroids at the same distance the first counts (languages in alphabetical order). A very long text is
+    counted whole, into ``DIMS`` places. Rows that repeat are predicted each for itself. Other columns don't matter; an empty table gives an
     empty result.
     """
 
