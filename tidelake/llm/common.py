@@ -63,6 +63,22 @@ def no_shuffle_files_left(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(key, before)
 
 
+#: Keys that join_counted() sends to every task: the most frequent ones, each of at least ``LEAST_HOT`` rows. Any other key
+#: has at most a MOST_HOT-th of all rows, so no task gets more.
+MOST_HOT, LEAST_HOT = 20_000, 500
+
+
+def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """``rows`` joined to ``table``, which has one row for each of its ``keys`` and says in ``count`` how many rows there are of it.
+
+    Rows of the most frequent keys stay where they are and meet a broadcast part of the table, of MOST_HOT rows at most.
+    ``rows`` is read twice, so it should be a written table.
+    """
+    hot = table.where(F.col(count) >= LEAST_HOT).orderBy(F.desc(count), *keys).limit(MOST_HOT)
+    rest = rows.join(F.broadcast(hot.select(keys)), keys, "left_anti").join(table, keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(rest)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import join_counted, materialise
 from .decontam import let
 
 WINDOW_LINES = 3
@@ -27,21 +27,21 @@ def _windows(lines: F.Column) -> F.Column:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Two rows are one document where doc_id and text agree; a null doc_id comes last, a null text is empty."""
+    """doc, hash, lines, and the whole row. Two rows are one document where doc_id and text agree; a null doc_id comes last, a null text is empty."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.withColumns({"__doc": F.col("doc_id").cast("long"), "__hash": F.xxhash64(text), "__lines": F.split(text, "\n")})
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text).alias("hash"), F.split(text, "\n").alias("lines"))
 
 
 def removed_places(docs: DataFrame) -> DataFrame:
-    """__doc, __hash and the sorted places of the lines to remove, for documents that lose any."""
-    found = _keyed(docs.select("doc_id", "text")).select("__doc", "__hash", F.posexplode(_windows(F.col("__lines"))).alias("at", "w")).select("__doc", "__hash", "at", "w.w1", "w.w2")
-    repeated = found.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    spots = materialise(found.join(repeated, ["w1", "w2"]), "windows")
-    spot = F.struct(F.col("__doc").isNull().alias("z"), "__doc", "__hash", "at")
-    first = spots.groupBy("w1", "w2").agg(F.min(spot).alias("first"))
-    later = spots.join(first, ["w1", "w2"]).where(~spot.eqNullSafe(F.col("first")))
-    covered = later.select("__doc", "__hash", F.explode(F.sequence(F.col("at"), F.col("at") + WINDOW_LINES - 1)).alias("at")).distinct()
-    return covered.groupBy("__doc", "__hash").agg(F.array_sort(F.collect_list("at")).alias("__gone"))
+    """doc, hash and the sorted places of the lines to remove, for documents that lose any."""
+    found = _keyed(docs.select("doc_id", "text")).select("doc", "hash", F.posexplode(_windows(F.col("lines"))).alias("at", "w"))
+    found = materialise(found.select("doc", "hash", "at", "w.w1", "w.w2"), "windows")
+    spot = F.struct(F.col("doc").isNull().alias("z"), "doc", "hash", "at")
+    # Both sums are made before rows move, so a window that a third of the corpus holds costs a row for each task.
+    first = materialise(found.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n"), F.min(spot).alias("first")).where("n > 1"), "first")
+    later = join_counted(found, first, ["w1", "w2"], "n").where(~spot.eqNullSafe(F.col("first")))
+    covered = later.select("doc", "hash", F.explode(F.sequence(F.col("at"), F.col("at") + WINDOW_LINES - 1)).alias("at")).distinct()
+    return covered.groupBy("doc", "hash").agg(F.array_sort(F.collect_list("at")).alias("gone"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -49,14 +49,16 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     Lines part at "\\n"; a text of fewer than three lines has no window and stays as it is, and a null text stays null
     (one empty line, counted as such). Rows that repeat doc_id and text count as one document: each of them loses the same lines.
-    Columns of ``docs`` named n_lines or n_removed are replaced. An empty table gives an empty result.
+    Columns of ``docs`` named n_lines or n_removed are replaced; other columns don't matter, whatever their names. A very
+    long text is split whole, in time linear in its lines. An empty table gives an empty result.
     """
-    gone = removed_places(docs).withColumnsRenamed({"__doc": "__d", "__hash": "__h"})
-    same = F.col("__doc").eqNullSafe(F.col("__d")) & (F.col("__hash") == F.col("__h"))
+    gone = removed_places(docs).withColumnsRenamed({"doc": "d", "hash": "h"})
+    same = F.col("doc").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h"))
     rows = _keyed(docs).join(gone, same, "left")
     # Runs of lines that stay: between one removed place and the next, so the work is linear in the lines.
-    edges = F.concat(F.array(F.lit(-1)), "__gone", F.array(F.size("__lines")))
-    left = let(edges, lambda e: F.flatten(F.transform(F.sequence(F.lit(0), F.size(e) - 2), lambda i: F.slice("__lines", F.get(e, i) + 2, F.get(e, i + 1) - F.get(e, i) - 1))))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    out = rows.withColumns({"__n": F.size("__lines").cast("long"), "__m": F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long"), "text": text})
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_lines", "n_removed")), F.col("__n").alias("n_lines"), F.col("__m").alias("n_removed"))
+    edges = F.concat(F.array(F.lit(-1)), "gone", F.array(F.size("lines")))
+    left = let(edges, lambda e: F.flatten(F.transform(F.sequence(F.lit(0), F.size(e) - 2), lambda i: F.slice("lines", F.get(e, i) + 2, F.get(e, i + 1) - F.get(e, i) - 1))))
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(left, "\n"))
+    own = [text.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
+    removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long")
+    return rows.select(*own, F.size("lines").cast("long").alias("n_lines"), removed.alias("n_removed"))
