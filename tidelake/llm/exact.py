@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .common import utf8
 
 SLOTS, MAX_KICKS, SALTS = 4, 200, 64
+#: Rows that one index in memory takes in, and the rest of the last digest.
+INDEX_ROWS = 200_000
 
 
 class CuckooIndex:
@@ -106,14 +108,26 @@ class CuckooIndex:
 
 
 def index_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One index partition: (digest, salt, top, n) rows in, the same rows with their group's keeper and size out.
+    """One index partition: (digest, salt, top, n) rows in, ordered by digest; the same rows with their group's keeper and size out.
 
-    Of two rows of a digest, the live digest of the lesser keeper is deleted and that of the greater inserted.
+    Of two rows of a digest, the live digest of the lesser keeper is deleted and that of the greater inserted. An index
+    holds some ``INDEX_ROWS`` rows; as all rows of a digest follow one another, the next digests start a new one.
     """
-    index, rows = CuckooIndex(), []
+    index, rows, held, last = CuckooIndex(), [], 0, None
+
+    def answered() -> Iterator[pa.RecordBatch]:
+        for part in rows:
+            found = [index.get(d) for d in part.column("digest").to_pylist()]
+            yield pa.record_batch([part.column("digest"), part.column("salt"), pa.array([k for k, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64())], names=["digest", "salt", "keep", "size"])
+
     for batch in batches:
-        rows.append(batch)
-        for digest, top, n in zip(*(batch.column(c).to_pylist() for c in ("digest", "top", "n")), strict=True):
+        begin = 0
+        for i, (digest, top, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("digest", "top", "n")), strict=True)):
+            if held >= INDEX_ROWS and digest != last:
+                rows.append(batch.slice(begin, i - begin))
+                yield from answered()
+                index, rows, held, begin = CuckooIndex(), [], 0, i
+            held, last = held + 1, digest
             slot = index.find(digest)
             if slot < 0:
                 index.insert(digest, (top, n))
@@ -124,31 +138,34 @@ def index_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 index.insert(digest, (top, size + n))
             else:
                 index.values[slot] = keep, size + n
-    for batch in rows:
-        found = [index.get(d) for d in batch.column("digest").to_pylist()]
-        yield pa.record_batch([batch.column("digest"), batch.column("salt"), pa.array([k for k, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64())], names=["__digest", "__salt", "__keep", "__size"])
+        rows.append(batch.slice(begin))
+    yield from answered()
 
 
-def _grouped(docs: DataFrame, salts: int) -> DataFrame:
-    """The rows of ``docs`` with __digest, __keep, __size and __kept."""
-    rows = docs.withColumns({"__digest": F.unhex(F.sha2(utf8(), 256)), "__salt": F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"), "__id": F.col("doc_id").cast("long")})
-    salted = rows.groupBy(F.col("__digest").alias("digest"), F.col("__salt").alias("salt")).agg(F.max("__id").alias("top"), F.count(F.lit(1)).alias("n"))
-    found = salted.repartition("digest").mapInArrow(index_bucket, "__digest binary, __salt int, __keep long, __size long")
-    one = F.row_number().over(Window.partitionBy("__digest", "__salt", "__id").orderBy("__keep")) == 1
-    return rows.join(found, ["__digest", "__salt"]).withColumn("__kept", F.col("__id").eqNullSafe(F.col("__keep")) & one)
+def _grouped(docs: DataFrame, salts: int | None) -> DataFrame:
+    """Per row of ``docs`` the whole row, its id and digest, and its group's keep, size and kept."""
+    # So many tasks share the copies of one text: as the cluster grows, so does the number of its shuffle partitions.
+    salts = salts or max(SALTS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.unhex(F.sha2(utf8(), 256)).alias("digest"), salt.alias("salt"), F.col("doc_id").cast("long").alias("id"))
+    salted = rows.groupBy("digest", "salt").agg(F.max("id").alias("top"), F.count(F.lit(1)).alias("n"))
+    found = salted.repartition("digest").sortWithinPartitions("digest").mapInArrow(index_bucket, "digest binary, salt int, keep long, size long")
+    one = F.row_number().over(Window.partitionBy("digest", "salt", "id").orderBy("keep")) == 1
+    return rows.join(found, ["digest", "salt"]).withColumn("kept", F.col("id").eqNullSafe(F.col("keep")) & one)
 
 
-def groups(docs: DataFrame, salts: int = SALTS) -> DataFrame:
+def groups(docs: DataFrame, salts: int | None = None) -> DataFrame:
     """Each row of ``docs`` (doc_id, text) with its group of equal texts: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical; a null text counts as empty. The largest doc_id of a group stays; a null doc_id
     is less than any other. Rows that repeat doc_id and text are counted each, and one of them is kept (keep_id is null
-    where no row of a group has an id). Other columns don't matter; an empty table gives an empty result.
+    where no row of a group has an id). A very long text costs its digest only. Other columns don't matter; an empty
+    table gives an empty result.
     """
     out = _grouped(docs.select("doc_id", "text"), salts)
-    return out.select(F.col("__id").alias("doc_id"), F.col("__keep").alias("keep_id"), F.col("__size").alias("group_size"), F.col("__kept").alias("kept"), F.lower(F.hex("__digest")).alias("text_sha256"))
+    return out.select(F.col("id").alias("doc_id"), F.col("keep").alias("keep_id"), F.col("size").alias("group_size"), "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def deduplicate(docs: DataFrame, salts: int = SALTS) -> DataFrame:
-    """The rows of ``docs`` that stay by groups(), with all their columns; of rows that repeat doc_id and text one stays."""
-    return _grouped(docs, salts).where("__kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+def deduplicate(docs: DataFrame, salts: int | None = None) -> DataFrame:
+    """The rows of ``docs`` that stay by groups(), with all their columns, whatever their names; of rows that repeat doc_id and text one stays."""
+    return _grouped(docs, salts).where("kept").select(*(F.col(f"row.`{c}`") for c in docs.columns))
