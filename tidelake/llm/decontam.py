@@ -81,10 +81,11 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     prints = items.where("whole IS NULL").select("item_id", F.explode("prints").alias("p")).select("item_id", F.col("p.hash").alias("hash")).distinct()
     near = signed.select("doc_id", "text_hash", F.explode("prints").alias("hash")).join(small(prints), "hash").select("doc_id", "text_hash", "item_id")
     whole = items.where("whole IS NOT NULL").select("item_id", F.size("words").alias("n"), "whole")
-    for n in sorted(r["n"] for r in whole.select("n").distinct().collect()):  # at most WINDOW - 1 lengths
-        hashed = words.where(F.size("words") >= n).select("doc_id", "text_hash", F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
-        grams = _whole_grams(F.col("h"), n)
-        near = near.union(hashed.select("doc_id", "text_hash", F.explode(grams).alias("whole")).join(small(whole.where(F.col("n") == n)), "whole").select("doc_id", "text_hash", "item_id"))
+    lengths = sorted(r["n"] for r in whole.select("n").distinct().collect())  # at most WINDOW - 1
+    if lengths:  # the grams of all these lengths in one pass over the texts
+        hashed = words.select("doc_id", "text_hash", F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
+        grams = F.flatten(F.array(*(F.when(F.size("h") >= n, _whole_grams(F.col("h"), n)).otherwise(F.array().cast("array<long>")) for n in lengths)))
+        near = near.union(hashed.select("doc_id", "text_hash", F.explode(grams).alias("whole")).join(small(whole), "whole").select("doc_id", "text_hash", "item_id"))
     found = near.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("item_id")).alias("found"))
 
     same = F.col("doc_id").eqNullSafe(F.col("d")) & F.col("text_hash").eqNullSafe(F.col("t"))
@@ -116,7 +117,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     A window is WINDOW words in a row of a row of ``benchmark`` (item_id, text), or all the words of a shorter one;
     a document's word inside any occurrence of a window is hit. A null text has no words, and an item without words has
-    no window. Rows that repeat doc_id and text get the same answer each; a null item_id counts as the empty string.
+    no window. A very long text is split and hashed whole. Rows that repeat doc_id and text get the same answer each; a null item_id counts as the empty string.
     Other columns don't matter; an empty table on either side gives no hit.
     """
     signed, found = hits(docs, benchmark)
@@ -134,8 +135,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without any hit, with their columns."""
+    """The rows of ``docs`` without any hit, with their columns, whatever their names."""
     _, found = hits(docs, benchmark)
-    found = found.select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & F.xxhash64(F.col("text").cast("string")).eqNullSafe(F.col("__t"))
-    return docs.join(found, same, "left_anti")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    found = found.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"))
+    same = F.col("row.doc_id").cast("long").eqNullSafe(F.col("d")) & F.xxhash64(F.col("row.text").cast("string")).eqNullSafe(F.col("t"))
+    return rows.join(found, same, "left_anti").select(*(F.col(f"row.`{c}`") for c in docs.columns))
