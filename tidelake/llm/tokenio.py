@@ -25,8 +25,10 @@ from .common import U64, materialise, piece_ids, scratch_path, utf8
 
 END_ID, SCALE_BITS, LANES, STEPS, BLOCK_TOKENS = 2, 20, 512, 128, 1 << 18
 LOW = 1 << 31
-TOKENS = "shard int, row long, doc_id long, n_tokens long, ids binary"
-BLOCKS = "shard int, block int, first_token long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, checkpoints binary, words binary, crc32 long"
+#: Bytes of text in a shard, one task's work; documents that share a doc_id may be in several.
+SHARD_BYTES = 32 << 20
+TOKENS = "shard int, row long, at long, doc_id long, n_tokens long, ids binary"
+BLOCKS = "shard int, block long, first_token long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, checkpoints binary, words binary, crc32 long"
 
 
 class FrequencyTable:
@@ -120,25 +122,29 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> Data
     """All documents' ids in ascending doc_id order: the order is that of (shard, row)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, shard, row = piece_ids(tokenizer_path), TaskContext.get().partitionId(), 0
+        ids, shard, row, at = piece_ids(tokenizer_path), TaskContext.get().partitionId(), 0, 0
         end = int(end_id).to_bytes(4, "little")
         for batch in batches:
             if batch.num_rows:
                 data = [ids.encode((t or b"").decode("utf-8", "replace")) + end for t in batch.column(1).to_pylist()]
-                n = len(data)
-                yield pa.record_batch([pa.array([shard] * n, pa.int32()), pa.array(range(row, row + n), pa.int64()), batch.column(0), pa.array([len(d) // 4 for d in data], pa.int64()), pa.array(map(narrow, data), pa.binary())], names=[x.split()[0] for x in TOKENS.split(", ")])
+                n, sizes = len(data), np.array([len(d) // 4 for d in data], np.int64)
+                places = at + np.cumsum(sizes) - sizes
+                at = int(places[-1] + sizes[-1])
+                yield pa.record_batch([pa.array([shard] * n, pa.int32()), pa.array(range(row, row + n), pa.int64()), pa.array(places), batch.column(0), pa.array(sizes), pa.array(map(narrow, data), pa.binary())], names=[x.split()[0] for x in TOKENS.split(", ")])
                 row += n
 
     rows = docs.select(F.col("doc_id").cast("long"), utf8().alias("text"))
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, TOKENS)
+    size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    order = ["doc_id", F.xxhash64("text")]
+    shards = rows.repartitionByRange(max(1, -(-size // SHARD_BYTES)), *order)
+    return shards.sortWithinPartitions(*order, "text").mapInArrow(run, TOKENS)
 
 
 def write(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = END_ID) -> None:
     """Write the ids of every row of ``docs`` (doc_id, text), each with ``end_id`` appended, to a new file set at ``path``.
 
-    Documents stand in ascending doc_id order, null first, rows that repeat a doc_id in the order of their texts; a null text counts as
-    empty. Other columns don't matter; an empty table gives a file set of no blocks. The driver gets one count for
+    Documents stand in ascending doc_id order, null first, rows that repeat a doc_id by a hash of their texts; a null text counts as
+    empty, and a text longer than a block makes a block of its own. Other columns don't matter; an empty table gives a file set of no blocks. The driver gets one count for
     each symbol and one for each shard, no ids.
     """
     spark = docs.sparkSession
@@ -163,33 +169,35 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = END_ID)
     symbols, freq = table.symbols, table.freq
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, block, shard, at, size = FrequencyTable(symbols, freq), 0, None, 0, 0
+        """Blocks of rows that follow one another in a shard, whichever part of it a task reads; a block is known by its first row."""
+        table, size = FrequencyTable(symbols, freq), 0
         docs: list[tuple[int | None, int]] = []
         held: list[bytes] = []
+        shard = first = begin = following = None
 
         def flush() -> pa.RecordBatch:
             ids = np.concatenate([widen(h, n) for h, (_, n) in zip(held, docs, strict=True)])
             marks, words = encode_block(ids, table)
-            row = {"shard": shard, "block": block, "first_token": at, "n_tokens": len(ids), "doc_ids": [d for d, _ in docs], "doc_tokens": [n for _, n in docs], "checkpoints": marks, "words": words, "crc32": zlib.crc32(words, zlib.crc32(marks))}
-            types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int64())
+            row = {"shard": shard, "block": first, "first_token": offsets[shard] + begin, "n_tokens": len(ids), "doc_ids": [d for d, _ in docs], "doc_tokens": [n for _, n in docs], "checkpoints": marks, "words": words, "crc32": zlib.crc32(words, zlib.crc32(marks))}
+            types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int64())
             return pa.record_batch([pa.array([v], t) for v, t in zip(row.values(), types, strict=True)], names=list(row))
 
         for batch in batches:
-            for s, doc, n, ids in zip(*(batch.column(c).to_pylist() for c in ("shard", "doc_id", "n_tokens", "ids")), strict=True):
-                if docs and (s != shard or size + n > BLOCK_TOKENS):
+            for s, row, at, doc, n, ids in zip(*(batch.column(c).to_pylist() for c in ("shard", "row", "at", "doc_id", "n_tokens", "ids")), strict=True):
+                if docs and ((s, row) != following or size + n > BLOCK_TOKENS):
                     yield flush()
-                    at, block, size = at + size, block + 1, 0
+                    size = 0
                     docs.clear()
                     held.clear()
-                if s != shard:
-                    shard, block, at = s, 0, offsets[s]
+                if not docs:
+                    shard, first, begin = s, row, at
                 docs.append((doc, n))
                 held.append(ids)
-                size += n
+                size, following = size + n, (s, row + 1)
         if docs:
             yield flush()
 
-    tokens.repartition("shard").sortWithinPartitions("shard", "row").mapInArrow(encode, BLOCKS).write.parquet(f"{path}/blocks")
+    tokens.mapInArrow(encode, BLOCKS).write.parquet(f"{path}/blocks")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
