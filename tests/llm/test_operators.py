@@ -8,6 +8,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -15,7 +16,8 @@ from tokenizers import Tokenizer
 from tidelake.llm import decontam, exact, langid, licenses, lines, lmscore, neardup, packing, queries, secretscan, tokenio
 from tidelake.llm.common import PieceIds
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, kept boolean, keep_id long, hash string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, kept boolean, keep_id long, hash string, row int, doc int, salt int, d int, t int, at int, id int, __kept_id int, lines int"
+CLASHING = (1,) * 9
 SF = "/root/testdata/sf0.001"
 LONG = " ".join(f"w{i % 911}x" for i in range(30_000))
 NEAR = [f"alpha{i}" for i in range(60)]
@@ -30,8 +32,8 @@ TEXTS = {
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    rows = [(i, t, None if i % 5 == 0 else "en" if i % 2 else "de", None, None, "d", True, 7, "h") for i, t in TEXTS.items()]
-    return spark.createDataFrame([*rows, rows[4], (None, "a b c d e", None, None, None, None, None, None, None)], SCHEMA)
+    rows = [(i, t, None if i % 5 == 0 else "en" if i % 2 else "de", None, None, "d", True, 7, "h", *CLASHING) for i, t in TEXTS.items()]
+    return spark.createDataFrame([*rows, rows[4], (None, "a b c d e", *[None] * 7, *CLASHING)], SCHEMA)
 
 
 @pytest.fixture(scope="module")
@@ -171,6 +173,15 @@ def test_exact(docs, empty):
     assert exact.groups(empty).count() == 0 and exact.deduplicate(empty).count() == 0
 
 
+def test_exact_with_small_indexes(spark, docs, monkeypatch):
+    rows = [(d, s, t, 1) for d in (b"a" * 32, b"b" * 32, b"c" * 32) for s, t in enumerate((1, 5, None))]
+    monkeypatch.setattr(exact, "INDEX_ROWS", 2)
+    names = ["digest", "salt", "top", "n"]
+    cut = [pa.record_batch([pa.array(c) for c in zip(*rows[i : i + 4], strict=True)], names=names) for i in range(0, 9, 4)]
+    out = [tuple(r.values()) for b in exact.index_bucket(iter(cut)) for r in b.to_pylist()]
+    assert out == [(d, s, 5, 3) for d, s, *_ in rows]
+
+
 def brute_hits(texts, items):
     windows = collections.defaultdict(set)
     for i, t in items:
@@ -216,6 +227,13 @@ def test_lines(spark, docs, empty):
     assert gone[15] and gone[16] and lines.remove_repeats(empty).count() == 0
 
 
+def test_lines_of_hot_windows(spark, monkeypatch):
+    monkeypatch.setattr("tidelake.llm.common.LEAST_HOT", 3)
+    texts = {i: f"top\nof\npage\n{i}\nq{i % 2}\nr\ns" for i in range(12)}
+    got = by_id(lines.remove_repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string")))
+    assert {i: (r.text, r.n_removed) for i, r in got.items()} == {i: (t, 0) if not i else (f"{i}\nq1\nr\ns", 3) if i == 1 else (str(i), 6) for i, t in texts.items()}
+
+
 def test_rans_round_trip(docs, empty):
     rng = np.random.default_rng(5)
     for n in (1, 511, 512, 70_000):
@@ -341,6 +359,45 @@ def test_licenses(docs, empty):
     assert got[14].n_base == 4 and licenses.scan(empty).count() == 0 and len(licenses.signatures()) > 300
 
 
+def test_license_priority_and_containment():
+    rule = lambda label, text, weight: licenses.Signature(label, text, text.split()[0], weight)
+    rules = (rule("long", "a b c d", 1.0), rule("within", "b c", 0.9), rule("across", "d e", 0.8), rule("wider", "z a b c d", 0.7), rule("same", "a b c d", 0.6))
+    scan = lambda t: licenses.Scanner(rules).scan(t.encode())[-2:]
+    assert scan("x a b c d e") == ("across,long", 1.0)
+    assert scan("z a b c d") == ("long,wider", 1.0) and scan("b c") == ("within", 0.9) and scan("a b c d, b c") == ("long,within", 1.0)
+    rng = np.random.default_rng(6)
+    for _ in range(50):
+        found, plain = licenses.Detections(), []
+        for n in range(6):
+            cuts = np.sort(rng.choice(60, 6, replace=False)).reshape(3, 2).tolist()
+            found.add([tuple(c) for c in cuts], str(n), 1.0)
+            plain += [(a, b, n) for a, b in cuts if not any(x <= a and b <= y for x, y, _ in plain)]
+        assert set(found.labels) == {str(n) for *_, n in plain}
+
+
+def test_licenses_in_long_texts():
+    import time
+
+    scanner, seconds = licenses.Scanner(), []
+    for n in (5_000, 40_000):
+        began = time.thread_time()
+        got = scanner.scan(b"under the mit license " * n)
+        seconds.append(time.thread_time() - began)
+        assert got[:4] == (4 * n, n, 0, 4 * n - 4) and got[4:6] == ("mit", "mit")
+    assert seconds[1] < 30 * seconds[0]  # 64 times, if it were quadratic
+
+
+def test_own_secret_kinds_against_full_scans():
+    texts = ["-----BEGIN RSA PRIVATE KEY-----", "x ghp_" + "a1" * 20, "xoxb-1234567890-abc", "sk_live_" + "Z9" * 9, "AIza" + "b" * 35, "eyJ" + "a" * 9 + ".eyJ" + "b" * 9 + "." + "c" * 9, "SG." + "a" * 20 + "." + "b" * 20, "ftp://u:pw1@h", 'Authorization: Bearer abcdefghijklmnop1234', "nothing here", ""]
+    texts += [" ".join(texts), "\n".join(reversed(texts)) * 3]
+    rules = secretscan.RULES
+    queries_of = [secretscan.trigram_query(r.regex) for r in rules]
+    index = secretscan.TrigramIndex(sorted(set().union(*map(secretscan.trigrams_of, queries_of))))
+    want = [sorted((m.start(), n, m.end()) for n, r in enumerate(rules) for m in re.finditer(r.regex, t) if m.end(r.group) - m.start(r.group) >= r.least) for t in texts]
+    assert secretscan.find_spans(texts, rules, index, queries_of) == want
+    assert {n for spans in want for _, n, _ in spans} >= set(range(3, len(rules)))
+
+
 def test_clusters_are_groups_and_not_outliers():
     rng = np.random.default_rng(2)
     groups = np.repeat(np.eye(60)[:4] + np.eye(60)[4] * 2, 50, axis=0) + rng.normal(0, 0.05, (200, 60))
@@ -349,6 +406,17 @@ def test_clusters_are_groups_and_not_outliers():
     assert sorted(of[:, 0].tolist()) == [0, 1, 2, 3] and (of == of[:, :1]).all()
 
 
+def test_prediction_is_the_nearest_centroid():
+    rng = np.random.default_rng(8)
+    model = langid.Model(rng.random(langid.DIMS).astype(np.float32) + 1, langid.unit(rng.random((6, langid.DIMS)).astype(np.float32)), tuple("aabbcc"), ((1 << 62, 0.3),))
+    texts = ["".join(rng.choice(list("abcdef gh"), rng.integers(3, 400))) for _ in range(300)]
+    for text, (lang, score, rejected) in zip(texts, model.predict(texts), strict=True):
+        v = np.log1p(langid.trigram_counts(text).astype(float)) * model.idf
+        cosines = [float(v @ c / np.linalg.norm(v)) for c in model.centroids.astype(float)]
+        assert lang == model.labels[int(np.argmax(cosines))] and score == pytest.approx(max(cosines), abs=1e-4) and rejected == (max(cosines) < 0.3)
+    assert model.predict([None, "", "123", "é"])[:3] == [("und", 0.0, True)] * 3
+
+
 def test_rejection_of_letters_without_language(spark):
     own = spark.read.parquet(f"{SF}/documents.parquet")
     model, rng = langid.fit(own), np.random.default_rng(4)
