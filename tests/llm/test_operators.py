@@ -332,6 +332,28 @@ def test_near(spark, docs, empty):
     assert kept.columns == docs.columns and {5, 9} <= {r.doc_id for r in kept.collect()}
 
 
+def test_near_with_hot_bands(spark, monkeypatch):
+    monkeypatch.setattr("tidelake.llm.common.LEAST_HOT", 3)
+    monkeypatch.setattr(neardup, "PAIRS_A_SET", 2)
+    monkeypatch.setattr(neardup, "TILE", 4)
+    rng = np.random.default_rng(9)
+    base = [f"b{i}" for i in range(150)]
+    texts = {g: " ".join(w if rng.random() > 0.004 * (g % 8) else f"n{g}" for w in base) for g in range(60)}
+    texts |= {100 + g: texts[3] for g in range(20)}
+    df, want = spark.createDataFrame(list(texts.items()), "doc_id long, text string"), brute_near(texts)
+    for exact in (False, True):
+        got = by_id(neardup.near_groups(df, exact))
+        assert {i: (got[i].n_shingles, got[i].component_id) for i in texts} == want
+    two = spark.createDataFrame([(1, texts[0]), (1, texts[0] + " more"), (2, texts[0] + " and more")], "doc_id long, text string")
+    assert neardup.keep_one(two).count() == 1
+
+
+def test_near_finds_all_links_of_the_documents(spark):
+    own = spark.read.parquet(f"{SF}/documents.parquet")
+    want = brute_near({r.doc_id: r.text for r in own.collect()})
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_groups(own).collect()} == want
+
+
 def test_language(spark, docs, empty):
     own = spark.read.parquet(f"{SF}/documents.parquet")
     rows = langid.predict(own, langid.fit(own)).collect()

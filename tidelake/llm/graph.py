@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, join_counted, materialise
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One round: each node's neighbours (large: the greater ones, else the lesser ones and itself) get the least neighbour."""
     around = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-    least = around.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-    joined = around.join(least, "a")
+    least = around.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count(F.lit(1)).alias("n"))
+    joined = join_counted(around, least, ["a"], "n")  # a hub has a neighbour in every third row
     if large:
         out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -23,12 +23,16 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """``edges`` (a, b) to (a, b): each node but the least of its component with that least node.
 
-    Large-star and small-star rounds in turn; each is written to the shared folder, and no edge comes to the driver.
+    Large-star and small-star rounds in turn; each is written to the shared folder, where the one before is deleted, and
+    no edge comes to the driver.
     """
     now = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
     seen = None
     while True:
-        now = materialise(_star(_star(now, large=True), large=False), "edges")
+        large = materialise(_star(now, large=True), "edges")
+        new = materialise(_star(large, large=False), "edges")
+        discard(now, large)
+        now = new
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen:
             return now

@@ -7,8 +7,10 @@ the whole set in the same way, which is more precise still for sets of some hund
 
 A band may hold a third of all rows, so its pairs are never all emitted. First each member is held against one pivot
 of its band; then, over what is not yet connected, against its likeliest partner by sketch; last, all pairs that are
-still in different components and whose sketches are near. Sketches are compared in tiles of a band, so a large band
-is spread over many tasks, and a pair counts in the first band that it shares only. A similar pair is lost only if no band of it agrees: (1 - 0.75^4)^32 = 5e-6 at the limit.
+still in different components and whose sketches are near. Sketches are compared in tiles of a band, those outside its
+largest component with all, so a large band is spread over many tasks; a pair counts in the first band that it shares
+only. A similar pair is lost only if no band of it agrees: (1 - 0.75^4)^32 = 5e-6 at the limit, or by its sketches
+(6 and 4.5 standard deviations); these drop none where the caller asks for ``exact``.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, map_rows, materialise, mix64, utf8
+from .common import MOST_HOT, U64, WordHashes, discard, join_counted, map_rows, materialise, mix64, utf8
 from .graph import components
 
 WIDTH, BANDS, ROWS, SKETCH_BITS = 5, 32, 4, 512
@@ -29,6 +31,8 @@ PERCENT = 75
 #: Pairs whose estimate is below this share less than PERCENT for certain: 6 standard errors of 128 samples lie between.
 LEAST_ESTIMATE = 0.5
 TILE = 512
+#: A set meets so many of its pairs in one task.
+PAIRS_A_SET = 500
 
 _rng = np.random.default_rng(20240229)
 MULTIPLY = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
@@ -104,11 +108,11 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-SIGNED = "doc_id long, n_shingles long, set_id binary, bands array<long>, " + ", ".join(f"{o} long" for o in SKETCH + PARITY)
+SIGNED = "doc_id long, text_hash long, n_shingles long, set_id binary, bands array<long>, " + ", ".join(f"{o} long" for o in SKETCH + PARITY)
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs``: the size and digest of its set, its band keys and its odd sketch."""
+    """Per row of ``docs``: its doc_id and a hash of its text, the size and digest of its set, its band keys and its odd sketches."""
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         from xxhash import xxh3_128_digest
@@ -117,7 +121,7 @@ def sign(docs: DataFrame) -> DataFrame:
 
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
             n, sets, bands, odd = [], [], [], []
-            for data in batch.column(1).to_pylist():
+            for data in batch.column(2).to_pylist():
                 s = shingles(data or b"", words)
                 n.append(len(s))
                 sets.append(xxh3_128_digest(s.tobytes()))
@@ -126,13 +130,13 @@ def sign(docs: DataFrame) -> DataFrame:
                 odd.append(np.concatenate([odd_sketch(sig), parity_sketch(s)]))
             cols = np.array(odd, dtype=np.int64).reshape(-1, len(SKETCH + PARITY)).T
             return pa.record_batch(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(bands, pa.list_(pa.int64())), *map(pa.array, cols)],
-                names=["doc_id", "n_shingles", "set_id", "bands", *SKETCH, *PARITY],
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(bands, pa.list_(pa.int64())), *map(pa.array, cols)],
+                names=["doc_id", "text_hash", "n_shingles", "set_id", "bands", *SKETCH, *PARITY],
             )
 
         return f
 
-    return map_rows(docs.select(F.col("doc_id").cast("long"), utf8().alias("text")), make, SIGNED)
+    return map_rows(docs.select(F.col("doc_id").cast("long"), F.xxhash64(utf8()), utf8().alias("text")), make, SIGNED)
 
 
 def _full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -157,20 +161,33 @@ def _full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return map_rows(nodes.join(texts, F.col("doc_id").eqNullSafe(F.col("id"))).select("set_id", "text"), make, "set_id binary, hashes binary")
 
 
-def _verify(pairs: DataFrame, light: DataFrame, full: DataFrame) -> DataFrame:
-    """The ``pairs`` (a, b) that are similar: sizes and sketches first, then the full sets."""
+def _with_sets(pairs: DataFrame, full: DataFrame, key: str, name: str) -> DataFrame:
+    """``pairs`` with the sets of their ``key``s. A set that is in very many pairs is sent once for each salt, and its pairs are dealt among these."""
+    hot = pairs.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / PAIRS_A_SET).cast("int").alias("salts")).where("salts > 1").orderBy(F.desc("salts"), key).limit(MOST_HOT)
+    hot = F.broadcast(hot)
+    dealt = pairs.join(hot, key, "left").withColumn("salt", F.pmod(F.xxhash64("a", "b"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    sets = full.select(F.col("set_id").alias(key), F.col("hashes").alias(name)).join(hot, key, "left")
+    sets = sets.select(key, name, F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+    return dealt.join(sets, [key, "salt"]).drop("salt")
 
-    def side(x: str) -> DataFrame:
-        return light.select(F.col("set_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), *(F.col(o).alias(f"{o}_{x}") for o in SKETCH + PARITY))
+
+def _verify(pairs: DataFrame, light: DataFrame, full: DataFrame, exact: bool) -> DataFrame:
+    """The ``pairs`` (a, b) that are similar: sizes and (unless ``exact``) sketches first, then the full sets."""
+    pairs = materialise(pairs.distinct(), "pairs")
+
+    def beside(rows: DataFrame, x: str) -> DataFrame:
+        side = light.select(F.col("set_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), *(F.col(o).alias(f"{o}_{x}") for o in SKETCH + PARITY))
+        return join_counted(rows, side.join(pairs.groupBy(x).agg(F.count(F.lit(1)).alias(f"count_{x}")), x), [x], f"count_{x}")
 
     def differing(names: list[str]) -> F.Column:
         return sum((F.bit_count(F.col(f"{o}_a").bitwiseXOR(F.col(f"{o}_b"))) for o in names), F.lit(0))
 
     apart = F.floor((F.col("n_a") + F.col("n_b")) * (100 - PERCENT) / (100 + PERCENT)).cast("int")
     limit = F.get(F.lit(LIMITS.tolist()), F.least(apart, F.lit(len(LIMITS) - 1)))
-    alike = (differing(SKETCH) <= most_differing()) & ((apart >= len(LIMITS)) | (differing(PARITY) <= limit))
-    near = pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(alike & (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))).select("a", "b")
-    both = near.join(full.select(F.col("set_id").alias("a"), F.col("hashes").alias("x")), "a").join(full.select(F.col("set_id").alias("b"), F.col("hashes").alias("y")), "b")
+    alike = F.lit(True) if exact else (differing(SKETCH) <= most_differing()) & ((apart >= len(LIMITS)) | (differing(PARITY) <= limit))
+    near = beside(beside(pairs, "a"), "b").where(alike & (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))).select("a", "b")
+    near = materialise(near, "near")
+    both = _with_sets(_with_sets(near, full, "a", "x"), full, "b", "y")
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -183,16 +200,26 @@ def _verify(pairs: DataFrame, light: DataFrame, full: DataFrame) -> DataFrame:
 
         return f
 
-    return materialise(map_rows(both.select("a", "b", "x", "y"), make, "a binary, b binary"), "links")
+    found = materialise(map_rows(both.select("a", "b", "x", "y"), make, "a binary, b binary"), "links")
+    discard(pairs, near)
+    return found
+
 
+def _tile_pairs(open_members: DataFrame, best_only: bool, exact: bool) -> DataFrame:
+    """Pairs (a, b) within a band whose sketches are near (or all, if ``exact``) and components differ: all, or each member's nearest one.
 
-def _tile_pairs(open_members: DataFrame, best_only: bool) -> DataFrame:
-    """Pairs (a, b) within a band whose sketches are near and components differ: all, or each member's nearest one."""
-    sizes = open_members.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("chunks"))
-    placed = open_members.join(sizes, "band").withColumn("chunk", F.pmod(F.xxhash64("set_id"), F.col("chunks")).cast("int"))
-    tiles = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    Members of a band's largest component (n_in of them) are chunks 0, 1, ..., the others (n_out) follow. Pairs within
+    that component don't matter, so only tiles with a chunk of others are made: n_out * (n_in + n_out) pairs are
+    looked at, not the square of the band.
+    """
+    inside, outside = (F.ceil(F.col(n) / TILE).cast("int") for n in ("n_in", "n_out"))
+    is_in = F.col("comp") == F.col("main")
+    chunk = F.when(is_in, F.pmod(F.xxhash64("set_id"), inside)).otherwise(inside + F.pmod(F.xxhash64("set_id"), outside)).cast("int")
+    first = F.when(is_in, inside).otherwise(0)  # with which chunks a member's own makes a tile
+    tiles = open_members.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(first, inside + outside - 1)))
     tiles = tiles.select("band", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), (F.col("chunk") > F.col("other")).alias("second"), "set_id", "comp", "n_shingles", "bands", *SKETCH, *PARITY)
-    limit = most_differing()
+    limit = SKETCH_BITS if exact else most_differing()
+    limits = np.full_like(LIMITS, PARITY_BITS) if exact else LIMITS
 
     def one(rows: pa.Table) -> list[tuple[bytes, bytes]]:
         ids, comp = rows.column("set_id").to_pylist(), rows.column("comp").to_pylist()
@@ -211,7 +238,7 @@ def _tile_pairs(open_members: DataFrame, best_only: bool) -> DataFrame:
         for k in left.tolist():
             apart = most_apart(n[right] + n[k])
             far = np.bitwise_count(parity[right] ^ parity[k]).sum(axis=1)
-            good = (np.bitwise_count(odd[right] ^ odd[k]).sum(axis=1) <= limit) & ((apart >= len(LIMITS)) | (far <= LIMITS[np.minimum(apart, len(LIMITS) - 1)])) & (comp[right] != comp[k]) & (100 * np.minimum(n[right], n[k]) >= PERCENT * np.maximum(n[right], n[k]))
+            good = (np.bitwise_count(odd[right] ^ odd[k]).sum(axis=1) <= limit) & ((apart >= len(limits)) | (far <= limits[np.minimum(apart, len(limits) - 1)])) & (comp[right] != comp[k]) & (100 * np.minimum(n[right], n[k]) >= PERCENT * np.maximum(n[right], n[k]))
             some = np.flatnonzero(good)
             if some.size:  # two sets that share several bands are a pair in the first of these
                 same = bands[right[some]] == bands[k]
@@ -246,49 +273,73 @@ def _tile_pairs(open_members: DataFrame, best_only: bool) -> DataFrame:
     return tiles.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(run, "a binary, b binary")
 
 
-def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
+def links(docs: DataFrame, signed: DataFrame, exact: bool = False) -> DataFrame:
     """(a, b): each set of a component of similar sets, but its least, with the least."""
     filled = signed.where("n_shingles > 0")
     nodes = filled.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), *(F.max(o).alias(o) for o in ["bands", *SKETCH, *PARITY]))
-    banded = filled.select("set_id", F.explode("bands").alias("band")).distinct()
-    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("set_id").alias("pivot")).where("size > 1").drop("size")
-    members = materialise(banded.join(shared, "band"), "members")
+    nodes = materialise(nodes, "nodes")
+    banded = nodes.select("set_id", F.explode("bands").alias("band"))
+    shared = materialise(banded.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("set_id").alias("pivot")).where("size > 1"), "shared")
+    members = materialise(join_counted(banded, shared, ["band"], "size").drop("size"), "members")
     light = materialise(nodes.join(members.select("set_id").distinct(), "set_id", "left_semi"), "sketches")
     full = materialise(_full_sets(docs, light.select("set_id", "doc_id")), "sets")
+    discard(nodes, shared)
 
-    found = _verify(members.where("set_id != pivot").select(F.least("set_id", "pivot").alias("a"), F.greatest("set_id", "pivot").alias("b")), light, full)
+    found = _verify(members.where("set_id != pivot").select(F.least("set_id", "pivot").alias("a"), F.greatest("set_id", "pivot").alias("b")), light, full, exact)
     stars = components(found)
     for best_only in (True, False):
-        named = members.select("set_id", "band").join(stars.select(F.col("a").alias("set_id"), F.col("b").alias("root")), "set_id", "left").select("set_id", "band", F.coalesce("root", "set_id").alias("comp"))
-        split = named.select("band", "comp").distinct().groupBy("band").count().where("count > 1").select("band")
-        still = materialise(named.join(split, "band", "left_semi").join(light.drop("doc_id"), "set_id"), "open")
+        named = members.select("set_id", "band").join(stars.select(F.col("a").alias("set_id"), F.col("b").alias("root")), "set_id", "left")
+        named = materialise(named.select("set_id", "band", F.coalesce("root", "set_id").alias("comp")), "named")
+        parts = named.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n"))
+        split = parts.groupBy("band").agg(F.sum("n").alias("size"), F.max(F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+        split = materialise(split.select("band", "size", F.col("top.comp").alias("main"), F.col("top.n").alias("n_in"), (F.col("size") - F.col("top.n")).alias("n_out")), "split")
+        still = materialise(join_counted(named, split, ["band"], "size").drop("size").join(light.drop("doc_id"), "set_id"), "open")
+        discard(named, split)
         if still.isEmpty():
             break
-        more = _verify(_tile_pairs(still, best_only), light, full)
+        more = _verify(_tile_pairs(still, best_only, exact), light, full, exact)
+        discard(still)
         if not more.isEmpty():
             stars = components(stars.union(more))
+    discard(members, light, full)
     return stars
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
+def _grouped(docs: DataFrame, exact: bool) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id and whether it is the row that stays (of rows that share a doc_id, one text's)."""
+    signed = materialise(sign(docs), "signed")
+    stars = links(docs, signed, exact)
+    row = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_hash")
+    least = signed.where("n_shingles > 0").groupBy("set_id").agg(F.min(row).alias("least"))
+    rooted = least.join(stars.select(F.col("a").alias("set_id"), F.col("b").alias("root")), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    of_root = rooted.groupBy("root").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("sets"))
+    # A root may have a third of all sets, and a set a third of all rows.
+    named = materialise(join_counted(materialise(rooted.select("set_id", "root"), "rooted"), of_root, ["root"], "sets").select("set_id", "first"), "roots")
+    sizes = signed.where("n_shingles > 0").groupBy("set_id").agg(F.count(F.lit(1)).alias("rows"))
+    filled = join_counted(signed.where("n_shingles > 0").select("doc_id", "text_hash", "n_shingles", "set_id"), named.join(sizes, "set_id"), ["set_id"], "rows")
+    out = filled.select("doc_id", "text_hash", "n_shingles", F.col("first.doc_id").alias("component_id"), (row == F.col("first")).alias("stays"))
+    return out.union(signed.where("n_shingles = 0").select("doc_id", "text_hash", "n_shingles", "doc_id", F.lit(True)))
+
+
+def near_groups(docs: DataFrame, exact: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text).
 
     Words part at ASCII white space, A-Z lowered. Documents of at least PERCENT percent Jaccard similarity are linked;
     component_id is the least doc_id reachable over links, and that document is kept. A text of fewer than five words is one
     shingle; without words (or null) it is empty and linked with nothing. Rows that repeat count as one document; a
-    null doc_id is greater than any other. Other columns don't matter; an empty table gives an empty result.
+    null doc_id is greater than any other. A very long text is hashed whole by one task. Other columns don't matter; an
+    empty table gives an empty result. ``exact``: no pair that shares a band is dropped by its sketches; all are verified.
     """
-    signed = materialise(sign(docs), "signed")
-    stars = links(docs, signed)
-    least = signed.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"))
-    rooted = least.join(stars.select(F.col("a").alias("set_id"), F.col("b").alias("root")), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    named = rooted.select("set_id", "root").join(rooted.groupBy("root").agg(F.min("least").alias("least")), "root").select("set_id", "least")
-    out = signed.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    out = _grouped(docs, exact)
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
 
+def keep_one(docs: DataFrame, exact: bool = False) -> DataFrame:
+    """The rows of ``docs`` that stay by near_groups(), with their columns, whatever their names.
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that near_groups() keeps, with their columns."""
-    kept = near_groups(docs).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__kept_id")), "left_semi")
+    Of rows that share the least doc_id of a group but not their texts, those of one text stay (the least by hash).
+    """
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    gone = _grouped(docs, exact).where(~F.col("stays")).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")).distinct()
+    same = F.col("row.doc_id").cast("long").eqNullSafe(F.col("d")) & (F.xxhash64(F.coalesce(F.col("row.text").cast("string").cast("binary"), F.lit(b""))) == F.col("t"))
+    return rows.join(gone, same, "left_anti").select(*(F.col(f"row.`{c}`") for c in docs.columns))
