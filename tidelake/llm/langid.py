@@ -45,6 +45,17 @@ def trigram_counts(text: str) -> np.ndarray | None:
     return np.bincount((code * np.uint32(2654435761)) >> np.uint32(32 - DIMS.bit_length() + 1), minlength=DIMS)
 
 
+def sparse(counts: np.ndarray) -> bytes:
+    """The places of trigrams that occur, 16 bits each, then their counts, 32 bits each."""
+    place = np.flatnonzero(counts)
+    return place.astype("<u2").tobytes() + counts[place].astype("<u4").tobytes()
+
+
+def dense(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(data) // 6
+    return np.frombuffer(data, "<u2", n).astype(np.int64), np.frombuffer(data, "<u4", n, 2 * n)
+
+
 def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=-1, keepdims=True), 1e-12)
 
@@ -142,18 +153,30 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, centroids: int
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            got = [(doc, lang, c.astype("<u4").tobytes()) for doc, text, lang in zip(*(c.to_pylist() for c in batch.columns), strict=True) if (c := trigram_counts(text or "")) is not None]
+            got = [(doc, lang, sparse(c)) for doc, text, lang in zip(*(c.to_pylist() for c in batch.columns), strict=True) if (c := trigram_counts(text or "")) is not None]
             return pa.record_batch([pa.array([g[i] for g in got], t) for i, t in enumerate((pa.string(), pa.string(), pa.binary()))], names=["id", "lang", "counts"])
 
         return f
 
-    sample = sorted((r["lang"], bytes(r["counts"])) for r in map_rows(rows.where(chosen).select(F.col("doc_id").cast("string"), "text", "lang"), make, "id string, lang string, counts binary").distinct().collect())
+
+    def in_order(row: tuple[str, bytes]) -> tuple[str, bytes]:
+        """By language and counts, place by place, so that clusters don't depend on how rows are dealt."""
+        place, n = dense(row[1])
+        every = np.zeros(DIMS, "<u2")
+        every[place] = np.minimum(n, 65_535)
+        return row[0], every.tobytes()
+
+    # Sparse rows, and one dense matrix of 32-bit numbers: the driver is small.
+    sample = sorted(((r["lang"], bytes(r["counts"])) for r in map_rows(rows.where(chosen).select(F.col("doc_id").cast("string"), "text", "lang"), make, "id string, lang string, counts binary").distinct().collect()), key=in_order)
     if not sample:
         return Model(idf, np.zeros((0, DIMS), np.float32), ())
     langs = [lang for lang, _ in sample]
-    counts = np.array([np.frombuffer(c, "<u4") for _, c in sample])
-    bare = Model(idf, np.zeros((0, DIMS), np.float32), ())
-    vectors = bare.vectors(counts)
+    vectors, sizes = np.zeros((len(sample), DIMS), np.float32), np.zeros(len(sample), np.int64)
+    for i, (_, data) in enumerate(sample):
+        place, n = dense(data)
+        row = np.log1p(n.astype(np.float32)) * idf[place]
+        vectors[i, place], sizes[i] = unit(row), n.sum()
+    del sample
     centres, labels = [], []
     for lang in sorted(set(langs)):
         own = vectors[[x == lang for x in langs]]
@@ -161,7 +184,7 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, centroids: int
         centres.append(got)
         labels += [lang] * len(got)
     centres = np.concatenate(centres)
-    return Model(idf, centres, tuple(labels), floors(counts.sum(axis=1), (vectors @ centres.T).max(axis=1)))
+    return Model(idf, centres, tuple(labels), floors(sizes, (vectors @ centres.T).max(axis=1)))
 
 
 PREDICTED = "lang_pred string, score double, rejected boolean"
