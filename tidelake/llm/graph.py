@@ -12,7 +12,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One round: each node's neighbours (large: the greater ones, else the lesser ones and itself) get the least neighbour."""
     around = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
     least = around.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count(F.lit(1)).alias("n"))
-    joined = join_counted(around, least, ["a"], "n")  # a hub has a neighbour in every third row
+    # A hub may have a third of all edges; after that step a node has few lesser neighbours.
+    joined = join_counted(around, least, ["a"], "n") if large else around.join(least, "a")
     if large:
         out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:

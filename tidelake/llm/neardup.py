@@ -175,9 +175,8 @@ def _verify(pairs: DataFrame, light: DataFrame, full: DataFrame, exact: bool) ->
     """The ``pairs`` (a, b) that are similar: sizes and (unless ``exact``) sketches first, then the full sets."""
     pairs = materialise(pairs.distinct(), "pairs")
 
-    def beside(rows: DataFrame, x: str) -> DataFrame:
-        side = light.select(F.col("set_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), *(F.col(o).alias(f"{o}_{x}") for o in SKETCH + PARITY))
-        return join_counted(rows, side.join(pairs.groupBy(x).agg(F.count(F.lit(1)).alias(f"count_{x}")), x), [x], f"count_{x}")
+    def side(x: str) -> DataFrame:
+        return light.select(F.col("set_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), *(F.col(o).alias(f"{o}_{x}") for o in SKETCH + PARITY))
 
     def differing(names: list[str]) -> F.Column:
         return sum((F.bit_count(F.col(f"{o}_a").bitwiseXOR(F.col(f"{o}_b"))) for o in names), F.lit(0))
@@ -185,7 +184,9 @@ def _verify(pairs: DataFrame, light: DataFrame, full: DataFrame, exact: bool) ->
     apart = F.floor((F.col("n_a") + F.col("n_b")) * (100 - PERCENT) / (100 + PERCENT)).cast("int")
     limit = F.get(F.lit(LIMITS.tolist()), F.least(apart, F.lit(len(LIMITS) - 1)))
     alike = F.lit(True) if exact else (differing(SKETCH) <= most_differing()) & ((apart >= len(LIMITS)) | (differing(PARITY) <= limit))
-    near = beside(beside(pairs, "a"), "b").where(alike & (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))).select("a", "b")
+    # A pivot is the lesser set of all its pairs, so that side is hot.
+    firsts = side("a").join(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("count_a")), "a")
+    near = join_counted(pairs, firsts, ["a"], "count_a").join(side("b"), "b").where(alike & (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))).select("a", "b")
     near = materialise(near, "near")
     both = _with_sets(_with_sets(near, full, "a", "x"), full, "b", "y")
 
