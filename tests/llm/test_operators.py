@@ -333,8 +333,6 @@ def test_near(spark, docs, empty):
 
 
 def test_near_with_hot_bands(spark, monkeypatch):
-    monkeypatch.setattr("tidelake.llm.common.LEAST_HOT", 3)
-    monkeypatch.setattr(neardup, "PAIRS_A_SET", 2)
     monkeypatch.setattr(neardup, "TILE", 4)
     rng = np.random.default_rng(9)
     base = [f"b{i}" for i in range(150)]

@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, join_counted, materialise
+from .common import discard, materialise
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One round: each node's neighbours (large: the greater ones, else the lesser ones and itself) get the least neighbour."""
     around = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-    least = around.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count(F.lit(1)).alias("n"))
-    # A hub may have a third of all edges; after that step a node has few lesser neighbours.
-    joined = join_counted(around, least, ["a"], "n") if large else around.join(least, "a")
+    least = around.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+    joined = around.join(least, "a")
     if large:
         out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -30,9 +29,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
     seen = None
     while True:
-        large = materialise(_star(now, large=True), "edges")
-        new = materialise(_star(large, large=False), "edges")
-        discard(now, large)
+        new = materialise(_star(_star(now, large=True), large=False), "edges")
+        discard(now)
         now = new
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen:

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MOST_HOT, U64, WordHashes, discard, join_counted, map_rows, materialise, mix64, utf8
+from .common import U64, WordHashes, discard, map_rows, materialise, mix64, utf8
 from .graph import components
 
 WIDTH, BANDS, ROWS, SKETCH_BITS = 5, 32, 4, 512
@@ -31,8 +31,6 @@ PERCENT = 75
 #: Pairs whose estimate is below this share less than PERCENT for certain: 6 standard errors of 128 samples lie between.
 LEAST_ESTIMATE = 0.5
 TILE = 512
-#: A set meets so many of its pairs in one task.
-PAIRS_A_SET = 500
 
 _rng = np.random.default_rng(20240229)
 MULTIPLY = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
@@ -161,20 +159,8 @@ def _full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return map_rows(nodes.join(texts, F.col("doc_id").eqNullSafe(F.col("id"))).select("set_id", "text"), make, "set_id binary, hashes binary")
 
 
-def _with_sets(pairs: DataFrame, full: DataFrame, key: str, name: str) -> DataFrame:
-    """``pairs`` with the sets of their ``key``s. A set that is in very many pairs is sent once for each salt, and its pairs are dealt among these."""
-    hot = pairs.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / PAIRS_A_SET).cast("int").alias("salts")).where("salts > 1").orderBy(F.desc("salts"), key).limit(MOST_HOT)
-    hot = F.broadcast(hot)
-    dealt = pairs.join(hot, key, "left").withColumn("salt", F.pmod(F.xxhash64("a", "b"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
-    sets = full.select(F.col("set_id").alias(key), F.col("hashes").alias(name)).join(hot, key, "left")
-    sets = sets.select(key, name, F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
-    return dealt.join(sets, [key, "salt"]).drop("salt")
-
-
 def _verify(pairs: DataFrame, light: DataFrame, full: DataFrame, exact: bool) -> DataFrame:
     """The ``pairs`` (a, b) that are similar: sizes and (unless ``exact``) sketches first, then the full sets."""
-    pairs = materialise(pairs.distinct(), "pairs")
-
     def side(x: str) -> DataFrame:
         return light.select(F.col("set_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), *(F.col(o).alias(f"{o}_{x}") for o in SKETCH + PARITY))
 
@@ -184,11 +170,8 @@ def _verify(pairs: DataFrame, light: DataFrame, full: DataFrame, exact: bool) ->
     apart = F.floor((F.col("n_a") + F.col("n_b")) * (100 - PERCENT) / (100 + PERCENT)).cast("int")
     limit = F.get(F.lit(LIMITS.tolist()), F.least(apart, F.lit(len(LIMITS) - 1)))
     alike = F.lit(True) if exact else (differing(SKETCH) <= most_differing()) & ((apart >= len(LIMITS)) | (differing(PARITY) <= limit))
-    # A pivot is the lesser set of all its pairs, so that side is hot.
-    firsts = side("a").join(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("count_a")), "a")
-    near = join_counted(pairs, firsts, ["a"], "count_a").join(side("b"), "b").where(alike & (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))).select("a", "b")
-    near = materialise(near, "near")
-    both = _with_sets(_with_sets(near, full, "a", "x"), full, "b", "y")
+    near = pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(alike & (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))).select("a", "b")
+    both = near.join(full.select(F.col("set_id").alias("a"), F.col("hashes").alias("x")), "a").join(full.select(F.col("set_id").alias("b"), F.col("hashes").alias("y")), "b")
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -201,9 +184,7 @@ def _verify(pairs: DataFrame, light: DataFrame, full: DataFrame, exact: bool) ->
 
         return f
 
-    found = materialise(map_rows(both.select("a", "b", "x", "y"), make, "a binary, b binary"), "links")
-    discard(pairs, near)
-    return found
+    return materialise(map_rows(both.select("a", "b", "x", "y"), make, "a binary, b binary"), "links")
 
 
 def _tile_pairs(open_members: DataFrame, best_only: bool, exact: bool) -> DataFrame:
@@ -278,24 +259,21 @@ def links(docs: DataFrame, signed: DataFrame, exact: bool = False) -> DataFrame:
     """(a, b): each set of a component of similar sets, but its least, with the least."""
     filled = signed.where("n_shingles > 0")
     nodes = filled.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), *(F.max(o).alias(o) for o in ["bands", *SKETCH, *PARITY]))
-    nodes = materialise(nodes, "nodes")
-    banded = nodes.select("set_id", F.explode("bands").alias("band"))
-    shared = materialise(banded.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("set_id").alias("pivot")).where("size > 1"), "shared")
-    members = materialise(join_counted(banded, shared, ["band"], "size").drop("size"), "members")
+    banded = filled.select("set_id", F.explode("bands").alias("band")).distinct()
+    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("set_id").alias("pivot")).where("size > 1").drop("size")
+    members = materialise(banded.join(shared, "band"), "members")
     light = materialise(nodes.join(members.select("set_id").distinct(), "set_id", "left_semi"), "sketches")
     full = materialise(_full_sets(docs, light.select("set_id", "doc_id")), "sets")
-    discard(nodes, shared)
 
     found = _verify(members.where("set_id != pivot").select(F.least("set_id", "pivot").alias("a"), F.greatest("set_id", "pivot").alias("b")), light, full, exact)
     stars = components(found)
     for best_only in (True, False):
         named = members.select("set_id", "band").join(stars.select(F.col("a").alias("set_id"), F.col("b").alias("root")), "set_id", "left")
-        named = materialise(named.select("set_id", "band", F.coalesce("root", "set_id").alias("comp")), "named")
+        named = named.select("set_id", "band", F.coalesce("root", "set_id").alias("comp"))
         parts = named.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n"))
         split = parts.groupBy("band").agg(F.sum("n").alias("size"), F.max(F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-        split = materialise(split.select("band", "size", F.col("top.comp").alias("main"), F.col("top.n").alias("n_in"), (F.col("size") - F.col("top.n")).alias("n_out")), "split")
-        still = materialise(join_counted(named, split, ["band"], "size").drop("size").join(light.drop("doc_id"), "set_id"), "open")
-        discard(named, split)
+        split = split.select("band", F.col("top.comp").alias("main"), F.col("top.n").alias("n_in"), (F.col("size") - F.col("top.n")).alias("n_out"))
+        still = materialise(named.join(split, "band").join(light.drop("doc_id"), "set_id"), "open")
         if still.isEmpty():
             break
         more = _verify(_tile_pairs(still, best_only, exact), light, full, exact)
@@ -313,13 +291,11 @@ def _grouped(docs: DataFrame, exact: bool) -> DataFrame:
     row = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_hash")
     least = signed.where("n_shingles > 0").groupBy("set_id").agg(F.min(row).alias("least"))
     rooted = least.join(stars.select(F.col("a").alias("set_id"), F.col("b").alias("root")), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    of_root = rooted.groupBy("root").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("sets"))
-    # A root may have a third of all sets, and a set a third of all rows.
-    named = materialise(join_counted(materialise(rooted.select("set_id", "root"), "rooted"), of_root, ["root"], "sets").select("set_id", "first"), "roots")
-    sizes = signed.where("n_shingles > 0").groupBy("set_id").agg(F.count(F.lit(1)).alias("rows"))
-    filled = join_counted(signed.where("n_shingles > 0").select("doc_id", "text_hash", "n_shingles", "set_id"), named.join(sizes, "set_id"), ["set_id"], "rows")
-    out = filled.select("doc_id", "text_hash", "n_shingles", F.col("first.doc_id").alias("component_id"), (row == F.col("first")).alias("stays"))
-    return out.union(signed.where("n_shingles = 0").select("doc_id", "text_hash", "n_shingles", "doc_id", F.lit(True)))
+    named = rooted.select("set_id", "root").join(rooted.groupBy("root").agg(F.min("least").alias("first")), "root").select("set_id", "first")
+    out = signed.select("doc_id", "text_hash", "n_shingles", "set_id").join(named, "set_id", "left")
+    filled = F.col("n_shingles") > 0
+    component = F.when(filled, F.col("first.doc_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), (~filled | (row == F.col("first"))).alias("stays"))
 
 
 def near_groups(docs: DataFrame, exact: bool = False) -> DataFrame:
