@@ -1,12 +1,14 @@
 """Stupid-backoff language-model scores, computed relationally.
 
 n-grams are exploded into rows and counted into tables partitioned by hash; the documents' n-grams are exploded too,
-joined to the count tables, and the logarithms are summed per document. Within a document the rows of one n-gram are
-one row with a weight: how often it stands for a word and its words before, less how often it is such words before.
+joined to the count tables, and the logarithms are summed per document. A row says whether its n-gram stands for a word
+and its words before (weight 1) or is such words before (-1). Where the documents are the corpus, n-grams that stand
+there once are counted but not kept: the logarithm of 1 adds nothing to a sum.
 
 All n-grams of all documents at once would fill the disks, so the hash space is worked off in ``PASSES`` parts: each
-part's tables are counted, joined, summed per document and dropped before the next. The n-grams that stand in most
-documents, at most ``MOST_HOT`` of a part, are dealt by (n-gram, salt), so that no task gets all rows of one.
+part's tables are counted, joined, summed per document and dropped before the next. The most frequent n-grams, at most
+``MOST_HOT`` of a part, are dealt by n-gram and salt, so that no task gets all rows of one. The keys of the count tables
+are unique, so their shuffle partitions are even, and each is held as a hash table in the join.
 """
 
 from __future__ import annotations
@@ -24,8 +26,9 @@ from .common import U64, WordHashes, discard, map_rows, materialise, mix64, no_s
 ORDER, ALPHA, PASSES = 3, 0.4, 8
 #: n-grams that are salted: the most frequent ones of a part, each in at least ``LEAST_HOT`` places.
 MOST_HOT, LEAST_HOT, SALTS = 20_000, 1_000, 64
+SALT_SHIFT = 58
 #: Words that are exploded at once.
-SLICE_WORDS = 1 << 19
+SLICE_WORDS = 1 << 20
 _rng = np.random.default_rng(7)
 WEIGHTS = _rng.integers(0, 1 << 63, 16, dtype=np.uint64) * U64(2) + U64(1)
 
@@ -96,52 +99,51 @@ def counted(words: DataFrame, order: int, part: int, parts: int) -> DataFrame:
 
 
 def asked(words: DataFrame, order: int, part: int, parts: int, hot: np.ndarray) -> DataFrame:
-    """(key, gram, weight, salt): by document, the weights with which logarithms of counts make its score, where all its n-grams are counted.
+    """(key, gram, weight): the n-grams whose logarithms of counts, so weighted, make a document's score, where all its n-grams are counted.
 
     The word at place i scores log c(the ``order`` words up to i) - log c(the order - 1 before i). The first words have
-    fewer before them, and their terms cancel but for the first order - 1 words in a row (or all, if there are fewer).
+    fewer before them, and their terms cancel but for the first order - 1 words in a row (or all, if there are fewer),
+    which in turn cancel with what the first word with order - 1 before it takes off.
     """
+    hot = np.sort(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, row, sizes in slices(batches):
             of, first = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
             by_n = gram_keys(row, order)
             at = _within(sizes, order)
-            docs, grams, weight = [of[at]], [by_n[order - 1][at]], [np.ones(len(at), np.int64)]
+            chosen = [(order, at, 1)]
             if order > 1:
-                docs.append(of[at])
-                grams.append(by_n[order - 2][at])
-                weight.append(-np.ones(len(at), np.int64))
-                for n in range(1, order):  # where the first words of a text end
-                    begin = first[sizes >= n] if n == order - 1 else first[sizes == n]
-                    docs.append(of[begin])
-                    grams.append(by_n[n - 1][begin])
-                    weight.append(np.ones(len(begin), np.int64))
-            docs, grams, weight = map(np.concatenate, (docs, grams, weight))
-            own = grams % U64(parts) == part
-            docs, grams, weight = docs[own], grams[own], weight[own]
-            order_of = np.lexsort((grams, docs))
-            docs, grams, weight = docs[order_of], grams[order_of], weight[order_of]
-            if len(docs):
-                new = np.flatnonzero(np.concatenate([[True], (docs[1:] != docs[:-1]) | (grams[1:] != grams[:-1])]))
-                weight = np.add.reduceat(weight, new)
-                docs, grams = docs[new][weight != 0], grams[new][weight != 0].view(np.int64)
-                key = keys[docs]
-                salt = np.where(np.isin(grams, hot), key % SALTS, 0).astype(np.int32)
-                yield pa.record_batch([pa.array(key), pa.array(grams), pa.array(weight[weight != 0]), pa.array(salt)], names=["key", "gram", "weight", "salt"])
-
-    return words.select("key", "words").mapInArrow(run, "key long, gram long, weight long, salt int")
+                chosen.append((order - 1, at[at != first[of[at]]], -1))
+                chosen += [(n, first[sizes == n], 1) for n in range(1, order)]
+            for n, places, weight in chosen:
+                grams = by_n[n - 1][places]
+                own = np.flatnonzero(grams % U64(parts) == part)
+                if len(own):
+                    grams, key = grams[own].view(np.int64), keys[of[places[own]]]
+                    if len(hot):
+                        spread = np.flatnonzero(hot[np.minimum(np.searchsorted(hot, grams), len(hot) - 1)] == grams)
+                        grams[spread] ^= (places[own[spread]] % SALTS) << SALT_SHIFT
+                    yield pa.record_batch([pa.array(key), pa.array(grams), pa.array(np.full(len(own), weight, np.int8))], names=["key", "gram", "weight"])
+
+    return words.select("key", "words").mapInArrow(run, "key long, gram long, weight tinyint")
 
 
 def _hot(counts: DataFrame) -> np.ndarray:
     return np.array([r["gram"] for r in counts.where(F.col("n") >= LEAST_HOT).orderBy(F.desc("n")).limit(MOST_HOT).collect()], np.int64)
 
 
+def _dealt(gram: str, salt: F.Column) -> F.Column:
+    """The key by which rows of an n-gram meet the count table: with the salt in its highest bits."""
+    return F.col(gram).bitwiseXOR(F.shiftleft(salt.cast("long"), SALT_SHIFT))
+
+
 def _salted(counts: DataFrame, hot: np.ndarray) -> DataFrame:
     """The count table with a row for each salt of a hot n-gram, else for salt 0."""
     keys = counts.sparkSession.createDataFrame([(int(g),) for g in hot], "gram long")
     salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    return counts.join(F.broadcast(keys.withColumn("hot", F.lit(True))), "gram", "left").select("gram", "n", F.explode(salts).alias("salt"))
+    every = counts.join(F.broadcast(keys.withColumn("hot", F.lit(True))), "gram", "left").select("gram", "n", F.explode(salts).alias("salt"))
+    return every.select(_dealt("gram", F.col("salt")).alias("gram"), "n").hint("shuffle_hash")
 
 
 def own_sums(words: DataFrame, order: int, passes: int) -> DataFrame:
@@ -149,9 +151,9 @@ def own_sums(words: DataFrame, order: int, passes: int) -> DataFrame:
     out = []
     for part in range(passes):
         with no_shuffle_files_left(words.sparkSession):
-            counts = materialise(counted(words, order, part, passes), "counts")
+            counts = materialise(counted(words, order, part, passes).where("n > 1"), "counts")
             hot = _hot(counts)
-            rows = asked(words, order, part, passes, hot).join(_salted(counts, hot), ["gram", "salt"])
+            rows = asked(words, order, part, passes, hot).join(_salted(counts, hot), "gram")
             out.append(materialise(rows.groupBy("key").agg(F.sum(F.col("weight") * F.log("n")).alias("s")), "sums"))
             discard(counts)
     every = out[0]
@@ -189,8 +191,8 @@ def backed_off_sums(words: DataFrame, corpus: DataFrame, order: int, total: int,
 
     def looked_up(rows: DataFrame, name: str) -> DataFrame:
         salt = F.when(F.col("hot"), F.pmod("key", F.lit(SALTS)).cast("int")).otherwise(0)
-        rows = rows.withColumn("gram", F.col(name)).join(keys, "gram", "left").withColumn("salt", salt).drop("hot")
-        return rows.join(counts.withColumnRenamed("n", f"n_{name}"), ["gram", "salt"], "left").drop("gram", "salt")
+        rows = rows.withColumn("gram", F.col(name)).join(keys, "gram", "left").withColumn("gram", _dealt("gram", salt)).drop("hot")
+        return rows.join(counts.withColumnRenamed("n", f"n_{name}"), "gram", "left").drop("gram")
 
     for _ in range(order):  # the longest n-gram left of each chain
         rows = looked_up(todo.select("key", "grams", "contexts", F.get("grams", F.lit(0)).alias("g"), F.get("contexts", F.lit(0)).alias("c")), "g")
