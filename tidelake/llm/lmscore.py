@@ -28,7 +28,7 @@ ORDER, ALPHA, PASSES = 3, 0.4, 8
 MOST_HOT, LEAST_HOT, SALTS = 20_000, 1_000, 64
 SALT_SHIFT = 58
 #: Words that are exploded at once.
-SLICE_WORDS = 1 << 20
+SLICE_WORDS = 1 << 19
 _rng = np.random.default_rng(7)
 WEIGHTS = _rng.integers(0, 1 << 63, 16, dtype=np.uint64) * U64(2) + U64(1)
 
@@ -60,21 +60,20 @@ def hashed(docs: DataFrame) -> DataFrame:
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Some documents at a time: their keys, their words in a row, and each one's number of words; documents without words are left out."""
-    keys: list[int] = []
-    held: list[np.ndarray] = []
-    n = 0
+    """Some documents of a batch at a time: their keys, their words in a row (not copied), and each one's number of words; documents without words are left out."""
     for batch in batches:
-        for key, data in zip(batch.column("key").to_pylist(), batch.column("words").to_pylist(), strict=True):
-            if data:
-                keys.append(key)
-                held.append(np.frombuffer(data, np.uint64))
-                n += len(held[-1])
-                if n > SLICE_WORDS:
-                    yield np.array(keys), np.concatenate(held), np.array(list(map(len, held)))
-                    keys, held, n = [], [], 0
-    if held:
-        yield np.array(keys), np.concatenate(held), np.array(list(map(len, held)))
+        if not batch.num_rows:
+            continue
+        col, keys = batch.column("words"), batch.column("key").to_numpy()
+        _, offsets, data = col.buffers()
+        ends = np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(col.type) else np.int32)[col.offset : col.offset + len(col) + 1] // 8
+        row, sizes, i = np.frombuffer(data or b"", np.uint64, int(ends[-1])), np.diff(ends), 0
+        while i < len(sizes):
+            j = max(i + 1, int(np.searchsorted(ends, ends[i] + SLICE_WORDS, side="right")) - 1)
+            full = sizes[i:j] > 0
+            if full.any():
+                yield keys[i:j][full], row[ends[i] : ends[j]], sizes[i:j][full]
+            i = j
 
 
 def _within(sizes: np.ndarray, n: int) -> np.ndarray:
@@ -90,8 +89,7 @@ def counted(words: DataFrame, order: int, part: int, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, row, sizes in slices(batches):
             every = [k[_within(sizes, n)] for n, k in enumerate(gram_keys(row, order), 1)]
-            grams = np.concatenate(every)
-            grams, n = np.unique(grams[grams % U64(parts) == part], return_counts=True)
+            grams, n = np.unique(np.concatenate([k[k % U64(parts) == part] for k in every]), return_counts=True)
             if len(grams):
                 yield pa.record_batch([pa.array(grams.view(np.int64)), pa.array(n)], names=["gram", "n"])
 
