@@ -9,10 +9,16 @@ from .common import discard, materialise
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One round: each node's neighbours (large: the greater ones, else the lesser ones and itself) get the least neighbour."""
+    """One round: each node's neighbours (large: the greater ones, else the lesser ones and itself) get the least neighbour.
+
+    A hub's neighbours are dealt by (node, salt), and each of its salts learns the least neighbour: no task gets all of them.
+    """
     around = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-    least = around.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-    joined = around.join(least, "a")
+    salts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    around = around.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int"))
+    parts = around.groupBy("a", "salt").agg(F.min("b").alias("b"))
+    least = parts.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+    joined = around.join(parts.select("a", "salt").join(least, "a"), ["a", "salt"])
     if large:
         out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
