@@ -293,6 +293,30 @@ def test_lm_scores_of_the_corpus_itself(spark, docs, order, monkeypatch):
         assert r.score == (None if not r.n_words else pytest.approx(r.logprob / r.n_words))
 
 
+@pytest.mark.parametrize(("order", "most_hot"), [(3, 20_000), (3, 3), (4, 3)])
+def test_lm_rows_are_dealt_once(spark, order, most_hot, monkeypatch):
+    monkeypatch.setattr(lmscore, "LEAST_SAMPLED", 3)  # with few places for them, some frequent n-grams stay while their contexts don't
+    monkeypatch.setattr(lmscore, "MOST_HOT", most_hot)
+    monkeypatch.setattr(lmscore, "SLICE_WORDS", 40)
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 4, n)) for n in [1, 1, 2, 2, 3, 3, 4, 5, 1, *rng.integers(0, 60, 30)]]
+    docs = spark.createDataFrame([*enumerate(texts), (0, texts[0]), (99, "lone")], "doc_id long, text string")
+    rows = [(r.doc_id, r.text.split()) for r in docs.collect()]
+    seen = collections.Counter(tuple(w[k : k + n]) for _, w in rows for n in range(1, order + 1) for k in range(len(w) - n + 1))
+    total = sum(len(w) for _, w in rows)
+    value = lambda g: math.log(seen[g] / (seen[g[:-1]] if len(g) > 1 else total))
+    want = {i: sum(value(tuple(w[max(0, k - order + 1) : k + 1])) for k in range(len(w))) for i, w in rows}
+    got = lmscore.score(docs, order=order, passes=2).collect()
+    assert len(got) == len(rows)
+    assert all(r.logprob == pytest.approx(want[r.doc_id], abs=1e-6) for r in got)
+
+    words = lmscore.hashed(docs)
+    hot = lmscore.frequent(words, order, total)
+    assert 0 < len(hot.grams) <= most_hot
+    dealt = sum(lmscore.exploded(words, order, part, 2, hot).count() for part in range(2))
+    assert dealt < total  # a row for a word at most; counting and joining used to deal two each
+
+
 def test_lm_query_looks_at_more_than_one_word_before(spark, tmp_path):
     spark.createDataFrame([(1, "a b c"), (2, "x b d")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = by_id(queries.op7_lm_scoring(spark, str(tmp_path)))

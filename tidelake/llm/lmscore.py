@@ -1,14 +1,16 @@
 """Stupid-backoff language-model scores, computed relationally.
 
-n-grams are exploded into rows and counted into tables partitioned by hash; the documents' n-grams are exploded too,
-joined to the count tables, and the logarithms are summed per document. A row says whether its n-gram stands for a word
-and its words before (weight 1) or is such words before (-1). Where the documents are the corpus, n-grams that stand
-there once are counted but not kept: the logarithm of 1 adds nothing to a sum.
-
-All n-grams of all documents at once would fill the disks, so the hash space is worked off in ``PASSES`` parts: each
-part's tables are counted, joined, summed per document and dropped before the next. The most frequent n-grams, at most
-``MOST_HOT`` of a part, are dealt by n-gram and salt, so that no task gets all rows of one. The keys of the count tables
-are unique, so their shuffle partitions are even, and each is held as a hash table in the join.
+n-grams are exploded into rows and counted into tables partitioned by hash; the documents' n-grams are joined to the
+count tables, and the logarithms are summed per document.
+
+Where the documents are the corpus, the rows that are counted are those that are joined, so they are dealt once, by
+the hash of the words before the last: a partition gets a context and all that follows it, counts both, joins its rows
+and sums them per document. The most frequent n-grams and contexts, at most ``MOST_HOT``, are counted first and met by
+a table in every task, so that no task gets all rows of one. All rows at once would fill the disks, so the hash space is
+worked off in ``PASSES`` parts, each dealt, counted, joined, summed and dropped before the next.
+
+Another corpus is counted in as many parts; its most frequent n-grams are dealt by n-gram and salt. The keys of the
+count tables are unique, so their shuffle partitions are even, and each is held as a hash table in the join.
 """
 
 from __future__ import annotations
@@ -18,15 +20,20 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, discard, map_rows, materialise, mix64, no_shuffle_files_left, utf8
+from .common import U64, WordHashes, discard, join_counted, map_rows, materialise, mix64, no_shuffle_files_left, utf8
 
 ORDER, ALPHA, PASSES = 3, 0.4, 8
 #: n-grams that are salted: the most frequent ones of a part, each in at least ``LEAST_HOT`` places.
 MOST_HOT, LEAST_HOT, SALTS = 20_000, 1_000, 64
 SALT_SHIFT = 58
+#: Where the documents are the corpus: places looked at for frequent n-grams, and in how many of these one stands.
+SAMPLED, LEAST_SAMPLED = 1 << 20, 20
+#: Exploded rows that a partition holds at once.
+PARTITION_ROWS = 1_000_000
 #: Words that are exploded at once.
 SLICE_WORDS = 1 << 19
 _rng = np.random.default_rng(7)
@@ -96,35 +103,181 @@ def counted(words: DataFrame, order: int, part: int, parts: int) -> DataFrame:
     return words.select("key", "words").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def asked(words: DataFrame, order: int, part: int, parts: int, hot: np.ndarray) -> DataFrame:
-    """(key, gram, weight): the n-grams whose logarithms of counts, so weighted, make a document's score, where all its n-grams are counted.
+class Hot:
+    """The frequent n-grams (sorted) and the logarithms of their counts: a count table that every task holds."""
+
+    BITS = 20
+
+    def __init__(self, grams: np.ndarray, n: np.ndarray) -> None:
+        by = np.argsort(grams)
+        self.grams, self.logs = grams[by], np.log(n[by])
+        self.flags = np.zeros(1 << self.BITS, bool)
+        self.flags[self.grams & U64((1 << self.BITS) - 1)] = True
+
+    def find(self, grams: np.ndarray) -> np.ndarray:
+        """Where each n-gram stands in the table, or -1."""
+        out = np.full(len(grams), -1, np.int32)
+        maybe = np.flatnonzero(self.flags[grams & U64((1 << self.BITS) - 1)])
+        if len(maybe):
+            at = np.minimum(np.searchsorted(self.grams, grams[maybe]), len(self.grams) - 1)
+            same = self.grams[at] == grams[maybe]
+            out[maybe[same]] = at[same]
+        return out
+
+
+def _tally(words: DataFrame, orders: range, choose: Callable[[], Callable[[np.ndarray], np.ndarray]]) -> DataFrame:
+    """(gram, n): how often each n-gram of these orders stands in ``words``, of those that the function made by ``choose`` picks from the ones of a slice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pick = choose()
+        for _, row, sizes in slices(batches):
+            by_n = gram_keys(row, orders[-1])
+            grams, n = np.unique(np.concatenate([pick(by_n[k - 1][_within(sizes, k)]) for k in orders]), return_counts=True)
+            if len(grams):
+                yield pa.record_batch([pa.array(grams.view(np.int64)), pa.array(n)], names=["gram", "n"])
+
+    return words.select("key", "words").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def _table(rows: DataFrame) -> Hot:
+    got = rows.collect()
+    return Hot(np.array([r["gram"] for r in got], np.int64).view(np.uint64), np.array([r["n"] for r in got], np.int64))
+
 
-    The word at place i scores log c(the ``order`` words up to i) - log c(the order - 1 before i). The first words have
-    fewer before them, and their terms cancel but for the first order - 1 words in a row (or all, if there are fewer),
-    which in turn cancel with what the first word with order - 1 before it takes off.
+def frequent(words: DataFrame, order: int, total: int) -> Hot:
+    """The exact counts of the n-grams and contexts that are frequent in a sample of about ``SAMPLED`` places.
+
+    The sample only says which n-grams are dealt otherwise; scores are the same whatever it holds.
+    """
+    orders, step = range(max(1, order - 1), order + 1), max(1, total // SAMPLED)
+
+    def some() -> Callable[[np.ndarray], np.ndarray]:
+        rng = np.random.default_rng(7)
+        return lambda grams: grams[int(rng.integers(step)) :: step]
+
+    names = _table(_tally(words, orders, some).where(F.col("n") >= LEAST_SAMPLED).orderBy(F.desc("n"), "gram").limit(MOST_HOT))
+    if not len(names.grams):
+        return names
+    return _table(_tally(words, orders, lambda: lambda grams: grams[names.find(grams) >= 0]))
+
+
+#: What a row adds to its document's score: so many logarithms of its n-gram's count, and of its context's count.
+GRAM_WEIGHT, CONTEXT_WEIGHT = np.array([1, 1, 0, 0, 0]), np.array([-1, 0, -1, 0, 1])
+BOTH, GRAM_ONLY, CONTEXT_OFF, COUNTED, CONTEXT_ADDED = range(5)
+
+
+def _places(sizes: np.ndarray, by_n: list[np.ndarray], order: int, hot: Hot) -> tuple[np.ndarray, ...]:
+    """For each place of an n-gram of the ``order``: place, n-gram, context, where these stand in ``hot``, and whether its document begins there."""
+    at = _within(sizes, order)
+    starts = np.zeros(int(sizes.sum()), bool)
+    starts[np.cumsum(sizes) - sizes] = True
+    grams = by_n[order - 1][at]
+    context = by_n[order - 2][at] if order > 1 else grams
+    return at, grams, context, hot.find(grams), hot.find(context), starts[at]
+
+
+def _last_contexts(sizes: np.ndarray, by_n: list[np.ndarray], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts that no word follows: document, context, and whether it is the whole document."""
+    docs = np.flatnonzero(sizes >= order - 1) if order > 1 else np.zeros(0, np.int64)
+    return docs, by_n[max(0, order - 2)][np.cumsum(sizes)[docs] - (order - 1)], sizes[docs] == order - 1
+
+
+def exploded(words: DataFrame, order: int, part: int, parts: int, hot: Hot) -> DataFrame:
+    """(deal, gram, key, role): a row for each n-gram of the ``order``, dealt by its context, and for each context at a document's end.
+
+    So a context and all that follows it are in one partition, which counts both. The word at place i scores log c(the
+    ``order`` words up to i) - log c(the order - 1 before i). The first words have fewer before them, and their terms
+    cancel but for the first order - 1 words in a row, which in turn cancel with what the first word with order - 1
+    before it takes off. Frequent contexts are not dealt, and what follows them is dealt by n-gram.
     """
-    hot = np.sort(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, row, sizes in slices(batches):
-            of, first = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
-            by_n = gram_keys(row, order)
-            at = _within(sizes, order)
-            chosen = [(order, at, 1)]
-            if order > 1:
-                chosen.append((order - 1, at[at != first[of[at]]], -1))
-                chosen += [(n, first[sizes == n], 1) for n in range(1, order)]
-            for n, places, weight in chosen:
-                grams = by_n[n - 1][places]
-                own = np.flatnonzero(grams % U64(parts) == part)
-                if len(own):
-                    grams, key = grams[own].view(np.int64), keys[of[places[own]]]
-                    if len(hot):
-                        spread = np.flatnonzero(hot[np.minimum(np.searchsorted(hot, grams), len(hot) - 1)] == grams)
-                        grams[spread] ^= (places[own[spread]] % SALTS) << SALT_SHIFT
-                    yield pa.record_batch([pa.array(key), pa.array(grams), pa.array(np.full(len(own), weight, np.int8))], names=["key", "gram", "weight"])
-
-    return words.select("key", "words").mapInArrow(run, "key long, gram long, weight tinyint")
+            of, by_n = np.repeat(np.arange(len(sizes)), sizes), gram_keys(row, order)
+            at, grams, context, known, known_context, first = _places(sizes, by_n, order, hot)
+            alone = (known_context >= 0) | (order == 1)
+            deal = np.where(alone, grams, context)
+            own = np.flatnonzero((deal % U64(parts) == part) & ~(alone & (known >= 0)))
+            no_gram, no_context = known[own] >= 0, alone[own] | first[own]
+            role = np.where(no_gram, np.where(no_context, COUNTED, CONTEXT_OFF), np.where(no_context, GRAM_ONLY, BOTH))
+            docs, last, whole = _last_contexts(sizes, by_n, order)
+            ends = np.flatnonzero((last % U64(parts) == part) & (hot.find(last) < 0))
+            key = np.concatenate([keys[of[at[own]]], keys[docs[ends]]])
+            deal = np.concatenate([deal[own], last[ends]])
+            gram = np.concatenate([np.where(no_gram, context[own], grams[own]), last[ends]])
+            role = np.concatenate([role, np.where(whole[ends], CONTEXT_ADDED, COUNTED)]).astype(np.int8)
+            if len(key):
+                yield pa.record_batch([pa.array(deal.view(np.int64)), pa.array(gram.view(np.int64)), pa.array(key), pa.array(role)], names=["deal", "gram", "key", "role"])
+
+    return words.select("key", "words").mapInArrow(run, "deal long, gram long, key long, role tinyint")
+
+
+def counted_and_joined(rows: DataFrame, partitions: int) -> DataFrame:
+    """(key, s): exploded() rows, dealt by hash; each partition counts its contexts and n-grams in hash tables, joins its rows to these, and sums per document."""
+
+    def logs(col: pa.Array) -> np.ndarray:
+        at = pc.dictionary_encode(col).indices.to_numpy()
+        return np.log(np.bincount(at))[at]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        t = pa.Table.from_batches(held).combine_chunks()
+        held.clear()
+        deal, gram, key, role = (t.column(c).chunk(0) for c in ("deal", "gram", "key", "role"))
+        role = role.to_numpy()
+        s = GRAM_WEIGHT[role] * logs(gram) + CONTEXT_WEIGHT[role] * logs(deal)
+        some = pa.array(s != 0)  # an n-gram that always follows its context adds nothing
+        left = pa.table({"key": key, "s": s}).filter(some)
+        yield from pa.TableGroupBy(left, "key", use_threads=False).aggregate([("s", "sum")]).rename_columns(["key", "s"]).to_batches()
+
+    return rows.repartition(partitions, "deal").mapInArrow(run, "key long, s double")
+
+
+def frequent_sums(words: DataFrame, order: int, hot: Hot) -> DataFrame:
+    """(key, s): what the frequent n-grams and contexts add to each document's score; their count table goes to every task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, row, sizes in slices(batches):
+            of, by_n = np.repeat(np.arange(len(sizes)), sizes), gram_keys(row, order)
+            at, _, _, known, known_context, first = _places(sizes, by_n, order, hot)
+            docs, last, whole = _last_contexts(sizes, by_n, order)
+            known_last = hot.find(last)
+            plus, off, added = known >= 0, (known_context >= 0) & ~first & (order > 1), (known_last >= 0) & whole
+            s = np.bincount(of[at[plus]], hot.logs[known[plus]], len(sizes)) - np.bincount(of[at[off]], hot.logs[known_context[off]], len(sizes))
+            s += np.bincount(docs[added], hot.logs[known_last[added]], len(sizes))
+            some = np.flatnonzero(s)
+            yield pa.record_batch([pa.array(keys[some]), pa.array(s[some])], names=["key", "s"])
+
+    return words.select("key", "words").mapInArrow(run, "key long, s double")
+
+
+def short_sums(words: DataFrame, order: int) -> DataFrame | None:
+    """(key, s) of the documents of fewer than ``order`` - 1 words: the logarithm of how often all their words stand in a row anywhere."""
+    few = words.where((F.col("n_words") > 0) & (F.col("n_words") < order - 1))
+    if few.isEmpty():
+        return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, row, sizes in slices(batches):
+            by_n, first = gram_keys(row, order), np.cumsum(sizes) - sizes
+            for n in range(1, order - 1):
+                own = sizes == n
+                yield pa.record_batch([pa.array(keys[own]), pa.array(by_n[n - 1][first[own]].view(np.int64))], names=["key", "gram"])
+
+    asked = materialise(few.select("key", "words").mapInArrow(run, "key long, gram long"), "asked")
+    names = asked.select("gram").distinct()
+    wanted = np.array([r["gram"] for r in names.limit(MOST_HOT + 1).collect()], np.int64).view(np.uint64)
+    if len(wanted) <= MOST_HOT:
+        table = Hot(wanted, np.ones(len(wanted)))
+        counts = _tally(words, range(1, order - 1), lambda: lambda grams: grams[table.find(grams) >= 0])
+    else:
+        counts = _tally(words, range(1, order - 1), lambda: lambda grams: grams).join(names, "gram", "left_semi")
+    counts = materialise(counts, "counts")
+    out = materialise(join_counted(asked, counts, ["gram"], "n").groupBy("key").agg(F.sum(F.log("n")).alias("s")), "sums")
+    discard(asked, counts)
+    return out
 
 
 def _hot(counts: DataFrame) -> np.ndarray:
@@ -144,20 +297,18 @@ def _salted(counts: DataFrame, hot: np.ndarray) -> DataFrame:
     return every.select(_dealt("gram", F.col("salt")).alias("gram"), "n").hint("shuffle_hash")
 
 
-def own_sums(words: DataFrame, order: int, passes: int) -> DataFrame:
+def own_sums(words: DataFrame, order: int, total: int, passes: int) -> DataFrame:
     """(key, s): per document the weighted logarithms of its n-grams' counts, where the documents are the corpus."""
-    out = []
-    for part in range(passes):
-        with no_shuffle_files_left(words.sparkSession):
-            counts = materialise(counted(words, order, part, passes).where("n > 1"), "counts")
-            hot = _hot(counts)
-            rows = asked(words, order, part, passes, hot).join(_salted(counts, hot), "gram")
-            out.append(materialise(rows.groupBy("key").agg(F.sum(F.col("weight") * F.log("n")).alias("s")), "sums"))
-            discard(counts)
-    every = out[0]
-    for more in out[1:]:
-        every = every.union(more)
-    return every
+    spark = words.sparkSession
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (passes * PARTITION_ROWS)))
+    with no_shuffle_files_left(spark):
+        hot, short = frequent(words, order, total), short_sums(words, order)
+        every = materialise(frequent_sums(words, order, hot), "sums") if len(hot.grams) else None
+        for part in range(passes):
+            rows = exploded(words, order, part, passes, hot)
+            sums = materialise(counted_and_joined(rows, partitions).groupBy("key").agg(F.sum("s").alias("s")), "sums")
+            every = sums if every is None else every.union(sums)
+    return every if short is None else every.union(short)
 
 
 def backed_off_sums(words: DataFrame, corpus: DataFrame, order: int, total: int, alpha: float, passes: int) -> DataFrame:
@@ -224,7 +375,7 @@ def score(docs: DataFrame, corpus: DataFrame | None = None, order: int = ORDER,
     words = materialise(hashed(docs), "words")
     known = words if corpus is None else materialise(hashed(corpus), "words")
     total = known.agg(F.sum("n_words").alias("n")).first()["n"] or 0
-    sums = own_sums(words, order, passes) if corpus is None else backed_off_sums(words, known, order, total, alpha, passes)
+    sums = own_sums(words, order, total, passes) if corpus is None else backed_off_sums(words, known, order, total, alpha, passes)
     # Rows that repeat share a key: each of them has its part of the sum.
     copies = words.groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
     by_key = sums.groupBy("key").agg(F.sum("s").alias("s")).join(copies, "key").select("key", (F.col("s") / F.col("copies")).alias("s"))
