@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tidelake.llm import decontam, exact, langid, licenses, lines, lmscore, neardup, packing, queries, secretscan, tokenio
+from tidelake.llm import common, decontam, exact, langid, licenses, lines, lmscore, neardup, packing, queries, secretscan, tokenio
 from tidelake.llm.common import PieceIds
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, kept boolean, keep_id long, hash string, row int, doc int, salt int, d int, t int, at int, id int, __kept_id int, lines int"
@@ -323,6 +323,28 @@ def test_lm_query_looks_at_more_than_one_word_before(spark, tmp_path):
     assert got[1].logprob == got[2].logprob == round(math.log(1 / 6), 4)  # c is certain after "a b", but not after "b"
 
 
+def test_near_gives_workers_little_at_a_time(spark, docs, monkeypatch):
+    key, seen, sign = "spark.sql.execution.arrow.maxRecordsPerBatch", [], neardup.sign
+    before = spark.conf.get(key)
+
+    def watched(rows):
+        seen.append(int(spark.conf.get(key)))
+        return sign(rows)
+
+    monkeypatch.setattr(neardup, "sign", watched)
+    neardup.near_groups(docs)
+    assert seen and max(seen) < 10_000 and spark.conf.get(key) == before
+
+
+def test_word_hashes_free_the_piece_caches_of_earlier_tasks():
+    path = queries.tokenizer_file("byte_bpe_50k.json")
+    pieces = common.piece_ids(path)
+    pieces.encode("some words")
+    assert common.piece_ids(path) is pieces
+    assert list(common.WordHashes().array([b"a", b"a"])) == [common.WordHashes()[b"a"]] * 2
+    assert common.piece_ids.cache_info().currsize == 0
+
+
 def brute_near(texts):
     sets = {}
     for i, t in texts.items():

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import functools
 import json
 import re
@@ -49,11 +50,9 @@ def discard(*tables: DataFrame) -> None:
 
 
 @contextlib.contextmanager
-def no_shuffle_files_left(spark: SparkSession) -> Iterator[None]:
-    """Within it, each query's shuffle files go as soon as it ends, and not only when the driver collects garbage."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
     before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
+    spark.conf.set(key, value)
     try:
         yield
     finally:
@@ -63,6 +62,16 @@ def no_shuffle_files_left(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(key, before)
 
 
+def no_shuffle_files_left(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
+    """Within it, each query's shuffle files go as soon as it ends, and not only when the driver collects garbage."""
+    return setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+def small_batches(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
+    """Within it, tasks hand 500 rows at a time to Python in place of 10,000: a batch is held on both sides, and whole texts or sets are long."""
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+
+
 #: Keys that join_counted() sends to every task: the most frequent ones, each of at least ``LEAST_HOT`` rows. Any other key
 #: has at most a MOST_HOT-th of all rows, so no task gets more.
 MOST_HOT, LEAST_HOT = 20_000, 500
@@ -83,6 +92,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@functools.lru_cache(maxsize=1)
+def _malloc_trim() -> Callable[[int], int] | None:
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on and run other queries' tasks."""
+    pa.default_memory_pool().release_unused()
+    if trim := _malloc_trim():
+        trim(0)
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
     """Arrow batches of ``df`` through the function that ``make`` builds once in each task."""
 
@@ -91,6 +112,8 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Rec
         for b in batches:
             if b.num_rows and (out := f(b)) is not None:
                 yield out
+        del f
+        give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -116,6 +139,9 @@ class WordHashes(dict):
         from xxhash import xxh3_64_intdigest
 
         super().__init__()
+        if piece_ids.cache_info().currsize:  # an earlier query's; a worker holds one large cache at a time
+            piece_ids.cache_clear()
+            give_back()
         self.most, self.hash = most, xxh3_64_intdigest
 
     def __missing__(self, word: bytes) -> int:

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, discard, map_rows, materialise, mix64, utf8
+from .common import U64, WordHashes, discard, map_rows, materialise, mix64, small_batches, utf8
 from .graph import components
 
 WIDTH, BANDS, ROWS, SKETCH_BITS = 5, 32, 4, 512
@@ -286,8 +286,9 @@ def links(docs: DataFrame, signed: DataFrame, exact: bool = False) -> DataFrame:
 
 def _grouped(docs: DataFrame, exact: bool) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id and whether it is the row that stays (of rows that share a doc_id, one text's)."""
-    signed = materialise(sign(docs), "signed")
-    stars = links(docs, signed, exact)
+    with small_batches(docs.sparkSession):
+        signed = materialise(sign(docs), "signed")
+        stars = links(docs, signed, exact)
     row = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_hash")
     least = signed.where("n_shingles > 0").groupBy("set_id").agg(F.min(row).alias("least"))
     rooted = least.join(stars.select(F.col("a").alias("set_id"), F.col("b").alias("root")), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
