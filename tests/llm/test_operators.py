@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tidelake.llm import common, decontam, exact, langid, licenses, lines, lmscore, neardup, packing, queries, secretscan, tokenio
+from tidelake.llm import common, decontam, exact, graph, langid, licenses, lines, lmscore, neardup, packing, queries, secretscan, tokenio
 from tidelake.llm.common import PieceIds
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, kept boolean, keep_id long, hash string, row int, doc int, salt int, d int, t int, at int, id int, __kept_id int, lines int"
@@ -519,3 +519,18 @@ def test_sql(spark, name):
     columns = [d[0] for d in want.description]
     got = queries.queries()[name](spark, SF).select(*columns).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want.fetchall()))
+
+
+def test_components_in_small_plans(spark, monkeypatch):
+    """Each written query of the rounds holds one star, so that the driver's memory doesn't go into plans; hubs, chains and loose edges come out right."""
+    joins, write = [], graph.materialise
+
+    def counted(df, name):
+        joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return write(df, name)
+
+    monkeypatch.setattr(graph, "materialise", counted)
+    edges = [(50, i) for i in range(60, 90)] + [(i + 1, i) for i in range(100, 109)] + [(3, 3), (7, 5), (5, 7), (7, 6), (89, 109)]
+    got = sorted(tuple(r) for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect())
+    assert got == [(6, 5), (7, 5), *((i, 50) for i in [*range(60, 90), *range(100, 110)])]
+    assert max(joins) <= 1

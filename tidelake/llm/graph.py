@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, materialise
@@ -16,9 +16,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     around = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
     salts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     around = around.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int"))
-    parts = around.groupBy("a", "salt").agg(F.min("b").alias("b"))
-    least = parts.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-    joined = around.join(parts.select("a", "salt").join(least, "a"), ["a", "salt"])
+    least = around.groupBy("a", "salt").agg(F.min("b").alias("b"))
+    least = least.select("a", "salt", F.least("a", F.min("b").over(Window.partitionBy("a"))).alias("m"))  # of a node, a row for each salt
+    joined = around.join(least, ["a", "salt"])
     if large:
         out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -30,14 +30,16 @@ def components(edges: DataFrame) -> DataFrame:
     """``edges`` (a, b) to (a, b): each node but the least of its component with that least node.
 
     Large-star and small-star rounds in turn; each is written to the shared folder, where the one before is deleted, and
-    no edge comes to the driver.
+    no edge comes to the driver. A star in a star's plan would be there once for each time that it is read, and the
+    driver holds and compiles all of that.
     """
     now = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
     seen = None
     while True:
-        new = materialise(_star(_star(now, large=True), large=False), "edges")
-        discard(now)
-        now = new
+        for large in (True, False):
+            new = materialise(_star(now, large), "edges")
+            discard(now)
+            now = new
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen:
             return now
