@@ -315,6 +315,38 @@ def test_log_files_of_a_store_that_arrow_does_not_know(spark, mor, tmp_path):
     assert sorted(map(tuple, Table.open(spark, "viewfs://tables/t").read().collect())) == want
 
 
+@pytest.mark.parametrize("name", ["table_logs"])
+def test_log_records_do_not_pass_the_driver(spark, monkeypatch, name):
+    """Tasks write the log files: the driver gets their numbers, whatever the orders."""
+    from tidelake.plans import queries
+    from tidelake.sources.writer import LOG_FILES
+
+    frame, got = type(spark.range(0)), [0]
+    for method, rows in (("collect", len), ("toArrow", lambda t: t.num_rows)):
+        monkeypatch.setattr(frame, method, lambda self, f=getattr(frame, method), rows=rows: (out := f(self), got.append(rows(out)))[0])
+    made = queries.queries()[name](spark, "/root/testdata/sf0.001")
+    assert max(got) <= LOG_FILES
+    monkeypatch.undo()
+    assert made.count() > 0
+
+
+@pytest.mark.parametrize("store", ["file", "viewfs"])
+def test_log_files_written_by_tasks(spark, tmp_path, store):
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.written.link./w", f"file://{tmp_path}")
+    w = writer(spark, f"viewfs://written/w/{store}" if store == "viewfs" else tmp_path / store)
+    w.base(trips(spark, RIDERS), "", "g1-0", T1)
+    w.commit(T1, "deltacommit")
+    changed = trips(spark, "ACDE", 2, 0.0).repartition(3)
+    n = w.logs("", "g1-0", T2, w.meta(changed, "", "", T2).select(*META_FIELDS, *COLUMNS), lambda rows: TableWriter.data_block(rows, T2))
+    gone = spark.createDataFrame([("id-F", 3)], "key string, ts long")
+    n = w.logs("", "g1-0", T2, gone, lambda rows: TableWriter.delete_block([tuple(r.values()) for r in rows.to_pylist()], T2), version=n)
+    assert n > max(groups.parse_log(f.name).version for f in w.storage.listing("")[0] if f.name.startswith(".g1-0"))
+    w.commit(T2, "deltacommit")
+    t = Table.open(spark, w.storage.base)
+    assert fares(t.read()) == dict.fromkeys("ACDE", 0.0) | dict.fromkeys("GIJ", 10.0)
+    assert fares(t.read(ReadOptions().with_query_type("incremental").with_start(T1))) == dict.fromkeys("ACDE", 0.0)
+
+
 def test_source_plans_what_catalyst_hands_it(spark, tmp_path):
     from pyspark.sql import datasource as ds
 

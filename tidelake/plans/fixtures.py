@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -107,16 +108,20 @@ def orders_logs(spark: SparkSession, sf_dir: str) -> str:
     w.commit(C1, "deltacommit")
     digit = F.col("o_orderkey") % 10
 
-    def changed(d: int, factor: float, ts: int, time: str) -> pa.Table:
+    def changed(d: int, factor: float, ts: int, time: str) -> DataFrame:
         rows = df.where(digit == d).withColumns({"o_totalprice": F.col("o_totalprice") * factor, "ts": F.lit(ts).cast("long")})
-        return w.meta(rows, "", "", time).select(*META_FIELDS, *ORDERS).toArrow()
+        return w.meta(rows, "", "", time).select(*META_FIELDS, *ORDERS)
 
-    keys = lambda d: [str(r[0]) for r in df.where(digit == d).select("o_orderkey").collect()]
-    gone = [(k, o) for d, o in ((3, 0), (4, 6), (5, 4), (6, None)) for k in keys(d)]
-    w.log("", file_id("", 0), C1, [w.avro_block(changed(1, 2.0, 6, C2), C2), w.avro_block(changed(2, 3.0, 4, C2), C2), w.delete_block(gone, C2)])
+    def gone(rows: pa.Table) -> bytes:
+        return TableWriter.delete_block(list(zip(*(c.to_pylist() for c in rows.columns), strict=True)), C2)
+
+    deleted = df.where(digit.between(3, 6)).select(F.col("o_orderkey").cast("string"), F.when(digit == 3, 0).when(digit == 4, 6).when(digit == 5, 4).cast("long"))
+    n = w.logs("", file_id("", 0), C1, changed(1, 2.0, 6, C2).union(changed(2, 3.0, 4, C2)), partial(TableWriter.avro_block, instant=C2))
+    n = w.logs("", file_id("", 0), C1, deleted, gone, version=n)
     w.commit(C2, "deltacommit")
-    w.log("", file_id("", 0), C1, [w.data_block(changed(8, 0.0, 9, C3), C3)], version=2)
-    w.log("", file_id("", 0), C1, [w.rollback_block(C3, C4), w.data_block(changed(9, 10.0, 7, C4), C4)], version=3)
+    n = w.logs("", file_id("", 0), C1, changed(8, 0.0, 9, C3), partial(TableWriter.data_block, instant=C3), version=n)
+    w.log("", file_id("", 0), C1, [w.rollback_block(C3, C4)], version=n)
+    w.logs("", file_id("", 0), C1, changed(9, 10.0, 7, C4), partial(TableWriter.data_block, instant=C4), version=n + 1)
     w.commit(C4, "deltacommit")
     return path
 

@@ -117,12 +117,21 @@ class Storage(Files):
             stream.close()
 
     def write(self, data: bytes, *parts: str) -> None:
+        self.write_all([data], *parts)
+
+    def write_all(self, pieces: Iterable[bytes], *parts: str) -> None:
+        """A file of several pieces, one in memory at a time."""
         stream = self.fs.create(self._p(*parts), True)
         try:
-            stream.write(bytearray(data))
+            for data in pieces:
+                stream.write(bytearray(data))
         finally:
             stream.close()
 
+    def make(self, *parts: str) -> None:
+        """A folder, with those above it."""
+        self.fs.mkdirs(self._p(*parts))
+
     def rename(self, old: str, new: str) -> None:
         self.fs.mkdirs(self._p(new).getParent())
         if not self.fs.rename(self.api.Path(old), self._p(new)):
@@ -215,6 +224,12 @@ def open_file(path: str, options: dict[str, str]) -> Any:
     return store.open_input_file(name)
 
 
+def create_file(path: str, options: dict[str, str]) -> Any:
+    """A new file to write to, opened within a task."""
+    store, name = arrow_fs(path, options)
+    return store.open_output_stream(name)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``); only a local master may do without the setting."""
     if root := spark.conf.get("spark.checkpoint.dir", None):

@@ -5,18 +5,22 @@ from __future__ import annotations
 import io
 import json
 import struct
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.config import COMMIT_SEQNO, COMMIT_TIME, FILE_NAME, META_FOLDER, PARTITION_PATH, PROPERTIES_FILE, RECORD_KEY, TIMELINE_FOLDER, VERSIONS
 from . import hfile, logfile
-from .storage import Storage
+from .storage import ARROW_SCHEMES, Storage, create_file, scheme
 
 
+#: Rows for logs are written by at most so many tasks, each to a log file of its own.
+LOG_FILES = 8
 #: Of a metadata table's records, as far as the ``files`` partition needs it.
 METADATA_SCHEMA = json.dumps({"type": "record", "name": "MetadataRecord", "fields": [{"name": "key", "type": "string"}, {"name": "type", "type": "int"}, {"name": "filesystemMetadata", "type": ["null", {"type": "map", "values": {"type": "record", "name": "FileInfo", "fields": [{"name": "size", "type": "long"}, {"name": "isDeleted", "type": "boolean"}]}}]}]})
 
@@ -53,18 +57,61 @@ class TableWriter:
 
     def log(self, partition: str, file_id: str, time: str, blocks: list[bytes], version: int = 1) -> None:
         """``time``: of the base file in layout 1, of the delta commit in layout 2."""
-        name = f".{file_id}_{time}.log.{version}_0-0-0"
-        self.storage.write(b"".join(blocks), partition, name)
+        self.storage.write(b"".join(blocks), partition, self._log_name(file_id, time, version))
+        self._logged(partition, file_id, time, version)
+
+    def logs(self, partition: str, file_id: str, time: str, rows: DataFrame, block: Callable[[pa.Table], bytes], version: int = 1) -> int:
+        """Log files of ``rows`` from ``version`` on, and the next version that is free. ``block``: of the rows of one Arrow batch.
+
+        Tasks write the files, so that no rows pass the driver; to a store that Arrow doesn't open it hands them on, a partition at a time.
+        """
+        if scheme(self.storage.base) not in ARROW_SCHEMES:
+
+            def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for b in batches:
+                    if b.num_rows:
+                        yield pa.record_batch([pa.array([block(pa.Table.from_batches([b]))], pa.binary())], names=["data"])
+
+            self.storage.write_all((r.data for r in rows.mapInArrow(packed, "data binary").toLocalIterator()), partition, self._log_name(file_id, time, version))
+            self._logged(partition, file_id, time, version)
+            return version + 1
+        paths = [self.storage.path(partition, self._log_name(file_id, time, version + n)) for n in range(LOG_FILES)]
+        options = self.storage.options()
+
+        def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n, out = TaskContext.get().partitionId(), None
+            for b in batches:
+                if b.num_rows:
+                    out = out or create_file(paths[n], options)
+                    out.write(block(pa.Table.from_batches([b])))
+            if out:
+                out.close()
+                yield pa.record_batch([pa.array([n], pa.int32())], names=["n"])
+
+        self.storage.make(partition)
+        done = sorted(r.n for r in rows.coalesce(LOG_FILES).mapInArrow(written, "n int").collect())
+        for n in done:
+            self._logged(partition, file_id, time, version + n)
+        return version + max(done, default=-1) + 1
+
+    @staticmethod
+    def _log_name(file_id: str, time: str, version: int) -> str:
+        return f".{file_id}_{time}.log.{version}_0-0-0"
+
+    def _logged(self, partition: str, file_id: str, time: str, version: int) -> None:
+        name = self._log_name(file_id, time, version)
         base, logs = self.latest.get((partition, file_id), ("", []))
         logs.append(name)
         self._stat(partition, file_id, name, **({"baseFile": base, "logFiles": [*logs]} if base else {}))
 
-    def data_block(self, rows: pa.Table, instant: str) -> bytes:
+    @staticmethod
+    def data_block(rows: pa.Table, instant: str) -> bytes:
         buffer = io.BytesIO()
         pq.write_table(rows, buffer)
         return logfile.frame(logfile.PARQUET_DATA, {logfile.INSTANT_TIME: instant}, buffer.getvalue())
 
-    def avro_block(self, rows: pa.Table, instant: str) -> bytes:
+    @staticmethod
+    def avro_block(rows: pa.Table, instant: str) -> bytes:
         """The same in Avro; columns of strings, 64-bit integers and doubles, each of which may be null."""
         kinds = {c.name: "string" if pa.types.is_string(c.type) else "double" if pa.types.is_floating(c.type) else "long" for c in rows.schema}
         schema = json.dumps({"type": "record", "name": "row", "fields": [{"name": c, "type": ["null", k]} for c, k in kinds.items()]})
@@ -73,12 +120,14 @@ class TableWriter:
         body = struct.pack(">II", logfile.CONTENT_VERSION, len(records)) + b"".join(struct.pack(">I", len(r)) + r for r in records)
         return logfile.frame(logfile.AVRO_DATA, {logfile.INSTANT_TIME: instant, logfile.SCHEMA: schema}, body)
 
-    def delete_block(self, keys: list[tuple[str, int | None]], instant: str) -> bytes:
+    @staticmethod
+    def delete_block(keys: list[tuple[str, int | None]], instant: str) -> bytes:
         """Deletes of (record key, long ordering value)."""
         body = zigzag(len(keys)) + b"".join(zigzag(1) + text(k) + zigzag(0) + (zigzag(0) if v is None else zigzag(2) + zigzag(v)) for k, v in keys) + zigzag(0) if keys else zigzag(0)
         return logfile.frame(logfile.DELETE, {logfile.INSTANT_TIME: instant}, struct.pack(">II", logfile.CONTENT_VERSION, len(body)) + body)
 
-    def rollback_block(self, target: str, instant: str) -> bytes:
+    @staticmethod
+    def rollback_block(target: str, instant: str) -> bytes:
         return logfile.frame(logfile.COMMAND, {logfile.INSTANT_TIME: instant, logfile.TARGET_INSTANT_TIME: target, logfile.COMMAND_TYPE: logfile.ROLLBACK}, b"")
 
     def commit(self, time: str, action: str = "commit", completion: str | None = None, replaced: dict[str, list[str]] | None = None, operation: str = "upsert") -> None:
