@@ -315,7 +315,7 @@ def test_log_files_of_a_store_that_arrow_does_not_know(spark, mor, tmp_path):
     assert sorted(map(tuple, Table.open(spark, "viewfs://tables/t").read().collect())) == want
 
 
-@pytest.mark.parametrize("name", ["table_logs"])
+@pytest.mark.parametrize("name", ["table_logs", "table_source_scan"])
 def test_log_records_do_not_pass_the_driver(spark, monkeypatch, name):
     """Tasks write the log files: the driver gets their numbers, whatever the orders."""
     from tidelake.plans import queries
@@ -396,6 +396,26 @@ def test_merge_in_memory_agrees_with_spark(spark, tmp_path):
     assert sorted(map(tuple, spark.read.format("tidelake").load(path).collect())) == sorted(map(tuple, Table.open(spark, path).read().collect()))
 
 
+@pytest.mark.parametrize("strategy", ["", "APPEND_ONLY"])
+def test_large_slices_are_merged_by_parts(spark, monkeypatch, strategy):
+    """1,500 orders and their logs in one slice: no merge holds more than a part of them."""
+    from tidelake.plans import fixtures
+    from tidelake.sources import datasource
+
+    path, seen, merged = fixtures.orders_logs(spark, "/root/testdata/sf0.001"), [0], datasource.latest_rows
+    monkeypatch.setattr(datasource, "MERGE_ROWS", 100, raising=False)
+    monkeypatch.setattr(datasource, "DEALT_ROWS", 64, raising=False)
+    monkeypatch.setattr(datasource, "latest_rows", lambda rows, dead, ordering: (seen.append(rows.num_rows + dead.num_rows), merged(rows, dead, ordering))[1])
+    reader = TableReader({"path": path}, Table.open(spark, path).schema(meta_fields=True))
+    reader.strategy = strategy or reader.strategy
+    got = [tuple(r.values()) for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+    if strategy:
+        assert len(got) == 1500 + 450 and max(seen) == 0
+    else:
+        assert sorted(got) == sorted(map(tuple, Table.open(spark, path).read().collect()))
+        assert max(seen) < 500
+
+
 @pytest.mark.parametrize("version", ["6", "8"])
 def test_archived_instants(spark, tmp_path, version):
     w = writer(spark, tmp_path / "a", kind="COPY_ON_WRITE", version=version)

@@ -2,17 +2,20 @@
 
 Each query plans the table anew, so new commits are seen. Conjuncts on columns go into planning: partitions, and base
 files without log files, that can't hold a row are not read. A partition of the scan is one or more file slices, each
-merged within its task, so a merge needs no shuffle; a slice's size is bounded by the table's writer.
+merged within its task, so a merge needs no shuffle; a large slice is merged by parts of its keys, one in memory at a time.
 """
 
 from __future__ import annotations
 
 import contextlib
 import functools
+import itertools
 import json
+import tempfile
 from collections.abc import Iterable, Iterator, Sequence
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
@@ -33,6 +36,10 @@ from .storage import ArrowStorage, Storage, arrow_fs, open_file
 NAME = "tidelake"
 #: Where a catalog table keeps its options: in its first column, as Spark hands none to a catalog table's scan.
 KEPT = "tidelake.options"
+#: A slice's records are merged about so many at a time. Of its log files only the bytes are known: so many to a record.
+MERGE_ROWS, LOG_ROW_BYTES = 1 << 18, 32
+#: Records that are dealt to parts at once.
+DEALT_ROWS = 1 << 16
 EXACT, INEXACT, UNSUPPORTED = "exact", "inexact", "unsupported"
 
 COMPARISONS = {ds.EqualTo: "=", ds.GreaterThan: ">", ds.GreaterThanOrEqual: ">=", ds.LessThan: "<", ds.LessThanOrEqual: "<="}
@@ -142,13 +149,57 @@ class TableReader(ds.DataSourceReader):
         ordering = self.ordering if self.ordering in self.arrow.names else None
         with contextlib.ExitStack() as stack:
             files = [stack.enter_context(open_file(f"{self.base}/{p}", self.given)) for p in s.log_paths]
-            logs = list(logfile.arrow_batches(files, widen(start) if start else "", widen(end), flagged, RECORD_KEY, ordering, COMMIT_TIME, DEAD))
-        rows = pa.Table.from_batches(logs, flagged)
-        dead, rows = rows.filter(pc.field(DEAD)), rows.filter(~pc.field(DEAD)).drop_columns([DEAD])
-        rows = pa.concat_tables([pa.Table.from_batches(self._base(s, start, end), self.arrow), rows])
-        if self.strategy != APPEND_ONLY and ordering:
-            rows = latest_rows(rows, dead, ordering)
-        yield from rows.to_batches(1 << 14)
+            logs = logfile.arrow_batches(files, widen(start) if start else "", widen(end), flagged, RECORD_KEY, ordering, COMMIT_TIME, DEAD)
+            base = (b.append_column(flagged.field(DEAD), pa.array([False] * b.num_rows, pa.bool_())) for b in self._base(s, start, end))
+            if self.strategy == APPEND_ONLY or not ordering:
+                for b in itertools.chain(base, logs):
+                    yield b.filter(pc.invert(b.column(DEAD))).drop_columns([DEAD])
+                return
+            with open_file(f"{self.base}/{s.base_path}", self.given) as f:
+                n = pq.ParquetFile(f).metadata.num_rows + sum(f.size() for f in files) // LOG_ROW_BYTES
+            for rows in parted(itertools.chain(base, logs), flagged, -(-n // MERGE_ROWS) or 1):
+                dead, rows = rows.filter(pc.field(DEAD)), rows.filter(~pc.field(DEAD)).drop_columns([DEAD])
+                if rows.num_rows:
+                    yield from latest_rows(rows, dead, ordering).to_batches(1 << 14)
+
+
+def gathered(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Fewer batches, of ``size`` rows at least (but the last)."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(h.num_rows for h in held) >= size:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
+def parted(batches: Iterable[pa.RecordBatch], schema: pa.Schema, n: int) -> Iterator[pa.Table]:
+    """The rows in ``n`` parts by record key, in their order within each; where there are more than one, a temporary file holds them."""
+    if n == 1:
+        yield pa.Table.from_batches(list(batches), schema)
+        return
+    places: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    with tempfile.TemporaryFile() as f:
+        for b in gathered(batches, DEALT_ROWS):
+            part = np.fromiter((hash(k) % n for k in b.column(RECORD_KEY).to_pylist()), np.int64, b.num_rows)
+            order = np.argsort(part, kind="stable")
+            b, ends = b.take(pa.array(order)), np.searchsorted(part[order], np.arange(n + 1)).tolist()
+            for p, (low, high) in enumerate(itertools.pairwise(ends)):
+                if low < high:
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as out:
+                        out.write_batch(b.slice(low, high - low))
+                    data = sink.getvalue()
+                    places[p].append((f.tell(), data.size))
+                    f.write(data)
+        for own in places:
+            held = []
+            for at, size in own:
+                f.seek(at)
+                held.append(pa.ipc.open_stream(f.read(size)).read_next_batch())
+            yield pa.Table.from_batches(held, schema).combine_chunks()
 
 
 def latest_rows(rows: pa.Table, dead: pa.Table, ordering: str) -> pa.Table:
