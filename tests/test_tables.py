@@ -315,7 +315,7 @@ def test_log_files_of_a_store_that_arrow_does_not_know(spark, mor, tmp_path):
     assert sorted(map(tuple, Table.open(spark, "viewfs://tables/t").read().collect())) == want
 
 
-@pytest.mark.parametrize("name", ["table_logs", "table_rollback", "table_slice", "table_source_scan"])
+@pytest.mark.parametrize("name", ["table_logs", "table_rollback", "table_slice", "table_source_scan", "table_tombstones"])
 def test_log_records_do_not_pass_the_driver(spark, monkeypatch, name):
     """Tasks write the log files: the driver gets their numbers, whatever the orders."""
     from tidelake.plans import queries
